@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import exact_dedup, line_dedup, packing, quality
+from textloom.llm import class_lm, embed_dedup, exact_dedup, langid, line_dedup, ngram_join, packing, quality
 from textloom.llm.common import table
 
 
@@ -28,6 +28,24 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(docs, model).select("doc_id", "quality_score", "keep")
 
 
+def op2_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return class_lm.score(docs, class_lm.train(docs))
+
+
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs), columns=["doc_id"])
+
+
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -63,6 +81,27 @@ SQL = {
           FROM line l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id)
         SELECT d.doc_id, coalesce(k.text, '') AS text, d.lang, d.source, d.n_chars, k.removed_lines
         FROM documents d JOIN kept k ON d.doc_id = k.doc_id""",
+    "op7_ngram_jaccard_join": r"""
+        WITH w AS (
+          SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS words FROM documents),
+        g AS (
+          SELECT doc_id, list_sort(list_distinct(CASE WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+            ELSE list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i : i + 2], ' ')) END)) AS grams
+          FROM w WHERE len(words) > 0),
+        least AS (SELECT grams, min(doc_id) AS doc_id, len(grams) AS n FROM g GROUP BY grams),
+        gram AS (SELECT doc_id, n, unnest(grams) AS gram FROM least),
+        near AS (
+          SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b, count(*) / (a.n + b.n - count(*)) AS jaccard
+          FROM gram a JOIN gram b ON a.gram = b.gram AND a.doc_id < b.doc_id
+          GROUP BY a.doc_id, b.doc_id, a.n, b.n)
+        SELECT doc_id_a, doc_id_b, jaccard FROM near WHERE jaccard >= 0.5
+        UNION ALL
+        SELECT l.doc_id, g.doc_id, 1.0 FROM g JOIN least l ON g.grams = l.grams WHERE g.doc_id <> l.doc_id""",
+    "op10_embedding_near_dedup": """
+        SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b,
+               round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine
+        FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
+        WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.95""",
     "op6_exact_dedup": """
         SELECT doc_id, text, lang, source, n_chars FROM (
           SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS nth FROM documents)
