@@ -1,10 +1,72 @@
-"""From raw documents to packed training sequences, stage by stage."""
+"""From raw documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with the columns of the
+``documents`` table; the last returns the packed sequences. Between stages the documents are written as
+Parquet to the shared checkpoint folder and read again, so that no stage is computed twice and a lost
+executor costs only its tasks.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom.llm import langid, line_dedup, ngram_join, packing, quality
+from textloom.llm.common import shared_folder, table
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID (9): documents without words, or of which no known language has a fair share, go."""
+    model = langid.train(docs)
+    return langid.identify(docs, model, with_runs=False).where("accepted").select(*docs.columns)
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality classifier (8), fitted on the labelled documents among the stage's own: bad ones go."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.quality_scores(docs, model).where("keep").select(*docs.columns)
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Line dedup (1): later runs of lines go, and documents of which nothing is left.
+
+    ``n_chars`` becomes the length of the new text.
+    """
+    rest = line_dedup.line_dedup(docs).where((F.col("removed_lines") == 0) | (F.trim(F.col("text")) != ""))
+    changed = F.when(F.col("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return rest.withColumn("n_chars", changed).select(*docs.columns)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join (7): one document of each group of near duplicates stays."""
+    return ngram_join.near_duplicates_removed(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Best-fit packing (4): which words of which documents each training sequence holds."""
+    return packing.best_fit_packing(docs)
+
+
+STAGES = [
+    ("language ID", known_language),
+    ("quality classifier", good_quality),
+    ("line dedup", without_repeated_lines),
+    ("n-gram Jaccard join", without_near_duplicates),
+    ("best-fit packing", packed),
+]
+
+# Fitted models and sequential packing are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole ``documents`` table."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for i, (_, stage) in enumerate(STAGES):
+        out = f"{folder}/{i}"
+        stage(spark, docs, sf_dir).write.parquet(out)
+        docs = spark.read.parquet(out)
+    return docs

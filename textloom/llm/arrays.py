@@ -49,6 +49,17 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offsets - offsets[0]
 
 
+def row_slices(column: pa.Array, size: int = PIECE):
+    """(first row, rows) of consecutive slices of about ``size`` bytes of text, a row at least."""
+    length = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(length)
+    at = 0
+    while at < len(length):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - length[at] + size, side="right")))
+        yield at, to - at
+        at = to
+
+
 def pieces(buf: np.ndarray, size: int = PIECE):
     """Consecutive (from, to) ranges of about ``size`` bytes that cut no word."""
     at, n = 0, len(buf)

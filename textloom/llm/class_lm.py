@@ -19,14 +19,22 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.arrays import Hasher, word_hashes
+from textloom.llm.arrays import Hasher, row_slices, word_hashes
 from textloom.llm.common import cut, q
 
 SHARD_BITS = 8
+SLICE_BYTES = 1 << 23
 BLOCKS = "shard int, keys binary, counts binary"
 ARROW = pa.schema([("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
+def parts(batches, text: int):
+    """The batches in slices of some megabytes of text, for memory."""
+    for batch in batches:
+        for at, rows in row_slices(batch.column(text), SLICE_BYTES):
+            yield batch.slice(at, rows)
+
+
 def words_in(column: pa.Array, bits: int, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
     h, bounds = word_hashes(column, hasher)
     return (h >> np.uint64(64 - bits)).astype(np.int64), bounds
@@ -129,7 +137,7 @@ def train(
 
     def unigrams(batches):
         hasher = Hasher()
-        for batch in batches:
+        for batch in parts(batches, 0):
             word, _ = words_in(batch.column(0), vocab_bits, hasher)
             keys, counts = np.unique(word, return_counts=True)
             yield pack(keys, counts, local)
@@ -150,7 +158,7 @@ def train(
 
         def around(batches):
             hasher, cls, total = Hasher(), shared.value, np.zeros((edge + 1) ** 2, np.int64)
-            for batch in batches:
+            for batch in parts(batches, 0):
                 word, bounds = words_in(batch.column(0), vocab_bits, hasher)
                 own, left, right = neighbours(word, bounds, cls, edge)
                 total += np.bincount(left * (edge + 1) + own, minlength=len(total))
@@ -208,7 +216,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "
     def likelihood(batches):
         hasher = Hasher()
         cls, emit, step = tables.value
-        for batch in batches:
+        for batch in parts(batches, 1):
             word, bounds = words_in(batch.column(1), bits, hasher)
             own, left, right = neighbours(word, bounds, cls, edge)
             value = step[left, own] + emit[word] + np.where(right == edge, step[own, edge], 0)
@@ -222,6 +230,6 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "
                 names=[id_col, "n_words", "log_likelihood", "perplexity"],
             )
 
-    staged = docs.select(F.col(q(id_col)), F.lower(F.col(q(text_col))).alias("__text"))
+    staged = docs.select(F.col(q(id_col)).alias("id"), F.lower(F.col(q(text_col))).alias("text"))
     schema = docs.select(F.col(q(id_col))).schema.add("n_words", "long").add("log_likelihood", "double")
     return staged.mapInArrow(likelihood, schema.add("perplexity", "double"))

@@ -28,27 +28,39 @@ def q(name: str) -> str:
     return f"`{name.replace('`', '``')}`"
 
 
+def numbered(df: DataFrame, columns: list[str], *extra: Column) -> DataFrame:
+    """The columns under plain names, c0, c1 and so on: functions over Arrow batches refuse dotted ones."""
+    return df.select(*[F.col(q(c)).alias(f"c{i}") for i, c in enumerate(columns)], *extra)
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     """64 bits that name a row: rows that repeat both id and text share them, null ids included."""
     return F.xxhash64(F.col(q(id_col)), F.col(q(text_col)))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read from there, without its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    The folder is the one in ``spark.checkpoint.dir``. Where that is unset (tests, local sessions) a
-    temporary folder is used, and removed when the process ends.
+    Where that is unset (tests, local sessions) a temporary folder is used, and removed when the process
+    ends; on a cluster it must be set.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if folder is None and sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = sc._jsc.sc().getCheckpointDir().get()
+    if folder is None:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="textloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        if configured is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            configured = tempfile.mkdtemp(prefix="textloom-")
-            atexit.register(shutil.rmtree, configured, ignore_errors=True)
-        sc.setCheckpointDir(configured)
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read from there, without its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -14,11 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.arrays import WORD_BYTE, Hasher, pieces, spans, text_bytes
-from textloom.llm.common import fresh, q
+from textloom.llm.arrays import WORD_BYTE, Hasher, pieces, row_slices, spans, text_bytes
+from textloom.llm.common import numbered, q
 
 GRAM_BITS, AFFIX_BITS, LEXICON_BITS = 16, 16, 18
-LINES_WORDS = 1 << 20
+LINES_WORDS = 1 << 18
+SLICE_BYTES = 1 << 21
 
 
 def features(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, hasher: Hasher):
@@ -263,7 +264,6 @@ def identify(
     if not with_runs:
         names = [x for x in names if "run_" not in x]
     cols = [c for c in (docs.columns if columns is None else columns) if c.lower() not in names]
-    raw = fresh(docs, "text")[0]
     kinds = {"main_lang": "string", "main_share": "double", "confidence": "double", "n_words": "long", "accepted": "boolean"}
     kinds |= {"run_langs": "array<string>", "run_words": "array<int>"}
     blank = docs.select(*[F.col(q(c)) for c in cols])
@@ -274,9 +274,9 @@ def identify(
     def tag(batches):
         hasher, n = Hasher(), max(1, len(model.languages))
         known = pa.array(model.languages or [None], pa.string())
-        for batch in batches:
+        for batch in (b.slice(*part) for b in batches for part in row_slices(b.column(len(cols)), SLICE_BYTES)):
             if model.languages:
-                label, sure, bounds = model.label(batch.column(raw), hasher)
+                label, sure, bounds = model.label(batch.column(len(cols)), hasher)
             else:
                 label, sure, bounds = np.zeros(0, np.int64), np.zeros(0), np.zeros(len(batch) + 1, np.int64)
             words = np.diff(bounds)
@@ -299,8 +299,8 @@ def identify(
                 "run_words": pa.ListArray.from_arrays(offsets, pa.array(np.diff(np.append(at, len(label))).astype(np.int32))),
                 "accepted": pa.array(fine),
             }
-            arrays = [batch.column(c) for c in cols] + [made[x] for x in names]
+            arrays = batch.columns[: len(cols)] + [made[x] for x in names]
             yield pa.RecordBatch.from_arrays(arrays, names=[*cols, *names])
 
-    staged = docs.select(*[F.col(q(c)) for c in cols], F.lower(F.col(q(text_col))).alias(raw))
+    staged = numbered(docs, cols, F.lower(F.col(q(text_col))).alias("text"))
     return staged.mapInArrow(tag, blank.schema)

@@ -9,9 +9,9 @@ counted per fragment and summed per pair. Three exact devices keep that linear i
    than ``ceil(threshold * size)`` of them, and no partner can reach the threshold; most documents end
    here. The pass keeps 40 bits of a hash, so it can only overestimate.
 3. Overlaps of the remaining sets are counted in fragments for n-grams in at most ``hot`` sets. More
-   frequent ones come last in the order; their overlap is added to the pairs found so far. Only sets
-   made mostly of such n-grams can match in them alone; these sets are paired through their prefix, the
-   rarest n-grams that a partner must share one of.
+   frequent ones are fragments of another kind: sets are hashed into blocks, and each pair of blocks
+   counts them for the pairs found so far that can still reach the threshold, and between sets made
+   mostly of such n-grams, as only these can match in them alone.
 
 N-grams travel as sorted, delta-coded blocks, some five bytes each, and Arrow groups are one fragment.
 """
@@ -20,15 +20,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.arrays import Hasher, mix, ranges, word_hashes
+from textloom.llm.arrays import Hasher, mix, ranges, row_slices, word_hashes
 from textloom.llm.common import cut, fresh, maybe_broadcast, q, row_key
 
 BROADCAST_BYTES = 64 << 20
 MAX_HOT = 1 << 18
+BLOCK_GRAMS = 1 << 19
+LOW48 = np.uint64((1 << 48) - 1)
 
 
 def shingle_sets(column: pa.Array, n: int, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
@@ -60,22 +63,33 @@ def signatures(key: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return mix((total[ends] - total[ends - sizes]) ^ (sizes.astype(np.uint64) << np.uint64(40))).view(np.int64)
 
 
-def blocks(h: np.ndarray, doc: np.ndarray, sigs: np.ndarray, bits: int, fragments: int):
-    """(fragment, deltas, positions, signatures) of each fragment that has n-grams; h and doc sorted by h."""
-    where = ((h * np.uint64(fragments)) >> np.uint64(bits)).astype(np.int64)
-    cuts = np.searchsorted(where, np.arange(fragments + 1))
+def sliced_sets(column: pa.Array, n: int, hasher: Hasher):
+    """(first row, rows, key, sizes) as in :func:`shingle_sets`, a slice of rows at a time."""
+    for at, rows in row_slices(column):
+        yield at, rows, *shingle_sets(column.slice(at, rows), n, hasher)
+
+
+def blocks(entry: np.ndarray, sigs: np.ndarray, bits: int, fragments: int):
+    """(fragment, deltas, positions, signatures) of each fragment that has n-grams.
+
+    ``entry`` has (hash << 16 | document), sorted; hashes have ``bits`` bits.
+    """
+    pivots = (np.arange(fragments + 1, dtype=np.uint64) << np.uint64(bits)) // np.uint64(fragments)
+    cuts = np.searchsorted(entry, pivots[1:-1] << np.uint64(16))
+    cuts = np.concatenate([[0], cuts, [len(entry)]])
     for f in range(fragments):
         a, b = cuts[f], cuts[f + 1]
         if a == b:
             continue
-        delta = np.diff(h[a:b], prepend=np.uint64(0))
+        h, doc = entry[a:b] >> np.uint64(16), (entry[a:b] & np.uint64(65535)).astype(np.int64)
+        delta = np.diff(h, prepend=np.uint64(0))
         first, delta[0] = delta[0], 0
         width = 3 if delta.max() < 1 << 24 else 8
         raw = np.ascontiguousarray(delta.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
         used = np.zeros(len(sigs), bool)
-        used[doc[a:b]] = True
+        used[doc] = True
         place = np.cumsum(used) - 1
-        yield f, np.uint64(first).tobytes() + raw, place[doc[a:b]].astype(np.uint16).tobytes(), sigs[used].tobytes()
+        yield f, np.uint64(first).tobytes() + raw, place[doc].astype(np.uint16).tobytes(), sigs[used].tobytes()
 
 
 def unblock(deltas: list[bytes], docs: list[bytes], sigs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -122,22 +136,26 @@ def counted(rows: DataFrame, n: int, fragments: int, hot: int) -> DataFrame:
         for whole in batches:
             for at in range(0, len(whole), 1 << 15):  # positions take 16 bits
                 batch = whole.slice(at, 1 << 15)
-                key, sizes = shingle_sets(batch.column(2), n, hasher)
-                if not len(key):
+                entries, sizes, sigs = [], [], []
+                for first, _, key, size in sliced_sets(batch.column(2), n, hasher):
+                    sigs.append(signatures(key, size))
+                    sizes.append(size)
+                    doc = (key >> np.uint64(48)) + np.uint64(first)
+                    entries.append((((key & LOW48) >> np.uint64(8)) << np.uint64(16)) | doc)
+                entry, size, sig = np.concatenate(entries), np.concatenate(sizes), np.concatenate(sigs)
+                del entries, sizes, sigs
+                if not len(entry):
                     continue
-                sigs = signatures(key, sizes)
-                doc = key >> np.uint64(48)
-                entry = np.sort((((key & np.uint64((1 << 48) - 1)) >> np.uint64(8)) << np.uint64(16)) | doc)
-                h, doc = entry >> np.uint64(16), (entry & np.uint64(65535)).astype(np.int64)
-                rows = list(blocks(h, doc, sigs, 40, fragments))
-                some = np.flatnonzero(sizes)
+                entry.sort()
+                some = np.flatnonzero(size)
                 keys, ids = batch.column(0).take(pa.array(some)), batch.column(1).take(pa.array(some))
-                lists = [keys.to_pylist(), ids.to_pylist(), sigs[some].tolist(), sizes[some].tolist()]
-                cols = list(zip(*rows))
-                # the list of documents goes along with one block
-                extra = [[x] + [None] * (len(rows) - 1) for x in lists]
-                arrays = [pa.array(c, t.type) for c, t in zip([*cols, *extra], arrow)]
-                yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+                lists = [[x] for x in (keys.to_pylist(), ids.to_pylist(), sig[some].tolist(), size[some].tolist())]
+                for row in blocks(entry, sig, 40, fragments):
+                    # the list of documents goes along with the first block
+                    arrays = [pa.array([c], t.type) for c, t in zip(row, arrow)]
+                    arrays += [pa.array(x, t.type) for x, t in zip(lists, list(arrow)[4:])]
+                    yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+                    lists = [[None]] * 4
 
     out = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("size", pa.int32()), ("id", pa.string())])
 
@@ -176,17 +194,16 @@ def counted(rows: DataFrame, n: int, fragments: int, hot: int) -> DataFrame:
     )
 
 
-def overlapped(rows: DataFrame, n: int, fragments: int, threshold: float, hot: np.ndarray, sets: np.ndarray):
+def overlapped(rows: DataFrame, n: int, fragments: int, hot: np.ndarray):
     """Second pass over (sig, text) of the remaining sets.
 
-    Two tables: (sig, hot, prefix), a set's hot n-grams and those by which it must be paired; and the
-    partial overlaps (a, b, n) of each fragment in all other n-grams, a < b.
+    Two tables: (sig, hot), the n-grams of each set that are in the list of hot ones; and the partial
+    overlaps (a, b, n) of each fragment in all others, a < b.
     """
-    schema = T.StructType([*BLOCK.fields, T.StructField("sig", T.LongType())])
-    schema = schema.add("hot", T.ArrayType(T.LongType())).add("prefix", T.ArrayType(T.LongType()))
+    schema = T.StructType([*BLOCK.fields, T.StructField("sig", T.LongType()), T.StructField("hot", T.ArrayType(T.LongType()))])
     arrow = pa.schema(
         [("fragment", pa.int32()), ("deltas", pa.binary()), ("docs", pa.binary()), ("sigs", pa.binary())]
-        + [("sig", pa.int64()), ("hot", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))]
+        + [("sig", pa.int64()), ("hot", pa.list_(pa.int64()))]
     )
 
     def emit(batches):
@@ -194,36 +211,25 @@ def overlapped(rows: DataFrame, n: int, fragments: int, threshold: float, hot: n
         for whole in batches:
             for at in range(0, len(whole), 1 << 15):
                 batch = whole.slice(at, 1 << 15)
-                key, sizes = shingle_sets(batch.column(1), n, hasher)
                 sigs = batch.column(0).to_numpy(zero_copy_only=False)
-                h = key & np.uint64((1 << 48) - 1)
-                short = (h >> np.uint64(8)).astype(np.int64)
-                place = np.minimum(np.searchsorted(hot, short), max(0, len(hot) - 1))
-                is_hot = hot[place] == short if len(hot) else np.zeros(len(h), bool)
-                doc = (key >> np.uint64(48)).astype(np.int64)
-                entry = np.sort((h[~is_hot] << np.uint64(16)) | doc[~is_hot].astype(np.uint64))
-                rows = list(
-                    blocks(entry >> np.uint64(16), (entry & np.uint64(65535)).astype(np.int64), sigs, 48, fragments)
-                )
-                d, hh = doc[is_hot], h[is_hot].astype(np.int64)
-                order = np.lexsort((hh, sets[place[is_hot]] if len(hot) else hh, d))
-                d, hh = d[order], hh[order]
-                many = np.bincount(d, minlength=len(sigs))
-                ends = np.cumsum(many)
-                # the first size - ceil(threshold * size) + 1 n-grams of a set, hot ones last
-                need = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1 - (sizes - many)
-                need = np.clip(need, 0, many)
-                lead = ranges(ends - many, need)
-                lists = pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), pa.array(hh))
-                prefix = pa.ListArray.from_arrays(
-                    np.concatenate([[0], np.cumsum(need)]).astype(np.int32), pa.array(hh[lead])
-                )
-                none = len(sigs)
-                if rows:
-                    cols = [pa.array(c, t.type) for c, t in zip(zip(*rows), arrow)]
-                    cols += [pa.nulls(len(rows), t.type) for t in list(arrow)[4:]]
-                    yield pa.RecordBatch.from_arrays(cols, schema=arrow)
-                cols = [pa.nulls(none, t.type) for t in list(arrow)[:4]] + [pa.array(sigs), lists, prefix]
+                entries, hots, many = [], [], []
+                for first, count, key, _ in sliced_sets(batch.column(1), n, hasher):
+                    h, doc = key & LOW48, (key >> np.uint64(48)) + np.uint64(first)
+                    short = (h >> np.uint64(8)).astype(np.int64)
+                    place = np.minimum(np.searchsorted(hot, short), max(0, len(hot) - 1))
+                    is_hot = hot[place] == short if len(hot) else np.zeros(len(h), bool)
+                    entries.append((h[~is_hot] << np.uint64(16)) | doc[~is_hot])
+                    hots.append(h[is_hot].astype(np.int64))
+                    many.append(np.bincount(doc[is_hot].astype(np.int64) - first, minlength=count))
+                entry = np.concatenate(entries)
+                del entries
+                entry.sort()
+                for row in blocks(entry, sigs, 48, fragments):
+                    arrays = [pa.array([c], t.type) for c, t in zip(row, arrow)] + [pa.nulls(1, t.type) for t in list(arrow)[4:]]
+                    yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+                ends = np.concatenate([[0], np.cumsum(np.concatenate(many))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(hots)))
+                cols = [pa.nulls(len(sigs), t.type) for t in list(arrow)[:4]] + [pa.array(sigs), lists]
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
 
     out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
@@ -251,11 +257,89 @@ def overlapped(rows: DataFrame, n: int, fragments: int, threshold: float, hot: n
     staged = cut(rows.mapInArrow(emit, schema))
     partial = staged.where("fragment is not null").select("fragment", "deltas", "docs", "sigs")
     return (
-        staged.where("fragment is null").select("sig", "hot", "prefix"),
+        staged.where("fragment is null").select("sig", "hot"),
         partial.groupBy("fragment").applyInArrow(overlap, "a long, b long, n long"),
     )
 
 
+def hot_overlaps(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, n): overlaps in hot n-grams, of the given pairs and of pairs that may match in these alone.
+
+    Sets (sig, size, hot) are hashed into blocks, about as many as keep a block's n-grams in memory, and
+    every pair of blocks is one group, so a set is copied once per block instead of once per partner.
+    """
+    total = sets.agg(F.sum(F.size("hot"))).first()[0] or 0
+    k = max(1, int(np.ceil(np.sqrt(total / BLOCK_GRAMS))))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    none = F.lit(None)
+    copies = sets.where(F.size("hot") > 0).select(
+        F.explode(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda y: F.least(y, block("sig")) * k + F.greatest(y, block("sig")))).alias("group"),
+        F.col("sig").alias("a"), none.cast("long").alias("b"), "size", "hot",
+    )
+    wanted = pairs.select(
+        (F.least(block("a"), block("b")) * k + F.greatest(block("a"), block("b"))).alias("group"),
+        "a", "b", none.cast("int").alias("size"), none.cast("array<long>").alias("hot"),
+    )
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+    ratio = threshold / (1 + threshold)
+
+    def count(group: pa.Table) -> pa.Table:
+        is_set = pc.is_null(group["b"])
+        docs, asked = group.filter(is_set), group.filter(pc.invert(is_set))
+        order = pc.sort_indices(docs["a"])
+        docs = docs.take(order)
+        sig, size = docs["a"].to_numpy(), docs["size"].to_numpy().astype(np.int64)
+        hot = docs["hot"].combine_chunks()
+        gram = hot.flatten().to_numpy()
+        length = pc.list_value_length(hot).to_numpy(zero_copy_only=False).astype(np.int64)
+        doc = np.repeat(np.arange(len(sig)), length)
+        _, gram = np.unique(gram, return_inverse=True)
+        begin = np.cumsum(length) - length
+        need = np.ceil(threshold * size - 1e-9)
+        alone = length >= need  # only two such sets can match in hot n-grams alone
+        a, b, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        # the asked pairs, unless both are counted below
+        ia = np.searchsorted(sig, asked["a"].to_numpy())
+        ib = np.searchsorted(sig, asked["b"].to_numpy())
+        if len(ia):
+            other = ~(alone[ia] & alone[ib])
+            ia, ib = ia[other], ib[other]
+            width = int(gram.max()) + 1 if len(gram) else 1
+            have = np.sort(doc * width + gram)
+            for at in range(0, len(ia), 1 << 18):
+                x, y = ia[at : at + (1 << 18)], ib[at : at + (1 << 18)]
+                probe = np.repeat(y, length[x]) * width + gram[ranges(begin[x], length[x])]
+                place = np.minimum(np.searchsorted(have, probe), len(have) - 1)
+                hits = np.bincount(np.repeat(np.arange(len(x)), length[x]), weights=have[place] == probe, minlength=len(x))
+                a.append(sig[x])
+                b.append(sig[y])
+                n.append(hits.astype(np.int64))
+        # sets made mostly of hot n-grams, each against all later ones of the other block
+        first, second = divmod(int(group["group"][0].as_py()), k)
+        mine = np.flatnonzero(alone)
+        keep = alone[doc]
+        by = np.argsort(gram[keep], kind="stable")
+        posting = doc[keep][by]
+        bound = np.searchsorted(gram[keep][by], np.arange(int(gram.max()) + 2 if len(gram) else 1))
+        rest = size - length
+        side = docs["side"].to_numpy()
+        for i in mine:
+            g = gram[begin[i] : begin[i] + length[i]]
+            hits = np.bincount(posting[ranges(bound[g], bound[g + 1] - bound[g])], minlength=len(sig))
+            fits = hits + np.minimum(rest[i], rest) >= ratio * (size[i] + size) - 1e-9
+            fits[: i + 1] = False
+            if first != second:
+                fits &= side != side[i]  # pairs inside a block belong to its own group
+            j = np.flatnonzero(fits & (hits > 0))
+            a.append(np.full(len(j), sig[i]))
+            b.append(sig[j])
+            n.append(hits[j])
+        return pa.table([pa.array(np.concatenate(x)) for x in (a, b, n)], schema=out)
+
+    both = copies.unionByName(wanted).withColumn("side", block("a"))
+    return both.groupBy("group").applyInArrow(count, "a long, b long, n long")
+
+
 def ngram_sets_join(
     docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int = 3, threshold: float = 0.5, hot: int = 32
 ) -> tuple[DataFrame, DataFrame]:
@@ -282,34 +366,23 @@ def ngram_sets_join(
     shared = found.where("kind = 0").groupBy(F.col("a").alias("shared_sig")).agg(F.sum("b").alias("shared"))
     alive = members.where("least").join(shared, F.col("sig") == F.col("shared_sig"))
     alive = cut(alive.where(F.col("shared") >= F.ceil(F.col("size") * threshold - 1e-9)).select("sig", "size", "key"))
-    top = found.where("kind = 2").orderBy(F.desc("b"), "a").limit(MAX_HOT).select("a", "b").toPandas()
-    top = top.sort_values("a")
+    top = found.where("kind = 2").orderBy(F.desc("b"), "a").limit(MAX_HOT).select("a").toPandas()
     side = maybe_broadcast(
         alive.select("sig", F.col("key").alias("alive_key")), alive.count(), 64, BROADCAST_BYTES
     )
     texts = keyed.join(side, F.col("key") == F.col("alive_key"))
-    sets, partial = overlapped(
-        texts.select("sig", "text"), n, fragments, threshold, top["a"].to_numpy(np.int64), top["b"].to_numpy(np.int64)
-    )
-    sets = sets.dropDuplicates(["sig"]).join(alive.select("sig", "size"), "sig")
-    lead = sets.select("sig", F.explode("prefix").alias("gram"))
-    by_prefix = (
-        lead.select(F.col("sig").alias("a"), "gram")
-        .join(lead.select(F.col("sig").alias("b"), "gram"), "gram")
-        .where("a < b")
-        .select("a", "b", F.lit(0).cast("long").alias("n"))
-        .distinct()
-    )
-    pairs = partial.unionByName(by_prefix).groupBy("a", "b").agg(F.sum("n").alias("n"))
-    for side_ in ("a", "b"):
-        pairs = pairs.join(
-            sets.select(F.col("sig").alias(side_), F.col("size").alias(f"{side_}n"), F.col("hot").alias(f"{side_}h")), side_
-        )
-        if side_ == "a":
-            # not even all of a's hot n-grams would do
-            pairs = pairs.where(F.col("n") + F.size("ah") >= F.col("an") * threshold - 1e-9)
-    both = F.col("n") + F.size(F.array_intersect("ah", "bh"))
-    pairs = pairs.select("a", "b", "an", "bn", both.alias("n"))
+    hots, partial = overlapped(texts.select("sig", "text"), n, fragments, np.sort(top["a"].to_numpy(np.int64)))
+    sets = cut(hots.dropDuplicates(["sig"]).join(alive.select("sig", "size"), "sig"))
+    sizes = sets.select("sig", "size", F.size("hot").alias("hots"))
+    pairs = partial.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    for end in ("a", "b"):
+        pairs = pairs.join(sizes.select(F.col("sig").alias(end), F.col("size").alias(f"{end}n"), F.col("hots").alias(f"{end}h")), end)
+    reach = (F.col("an") + F.col("bn")) * (threshold / (1 + threshold)) - 1e-9
+    pairs = cut(pairs.where(F.col("n") + F.least("ah", "bh") >= reach))
+    more = hot_overlaps(sets, pairs.where("ah > 0 and bh > 0").select("a", "b"), threshold)
+    pairs = pairs.select("a", "b", "n").unionByName(more).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    for end in ("a", "b"):
+        pairs = pairs.join(sizes.select(F.col("sig").alias(end), F.col("size").alias(f"{end}n")), end)
     pairs = pairs.withColumn("jaccard", F.col("n") / (F.col("an") + F.col("bn") - F.col("n")))
     return members, cut(pairs.where(F.col("jaccard") >= threshold).select("a", "b", "jaccard"))
 

@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import fresh, q
+from textloom.llm.common import numbered, q
 
 LEVEL = 3
 PRIOR = 200
@@ -134,7 +134,6 @@ def quality_scores(
     Columns of the input named like the new ones are replaced, all others pass through; equal texts get
     equal scores.
     """
-    raw = fresh(docs, "text")[0]
     taken = {score_col.lower(), keep_col.lower()}
     cols = [c for c in docs.columns if c.lower() not in taken]
     schema = docs.select(*[F.col(q(c)) for c in cols]).schema.add(score_col, "double").add(keep_col, "boolean")
@@ -142,11 +141,11 @@ def quality_scores(
     def score(batches):
         good, bad = model.compressors()
         for batch in batches:
-            texts = batch.column(raw).cast(pa.large_binary())
+            texts = batch.column(len(cols)).cast(pa.large_binary())
             d = np.array([model.difference(t.as_py() or b"", good, bad) for t in texts], float)
             p = model.probability(d)
-            arrays = [batch.column(c) for c in cols] + [pa.array(p, pa.float64()), pa.array(p >= model.threshold)]
+            arrays = batch.columns[: len(cols)] + [pa.array(p, pa.float64()), pa.array(p >= model.threshold)]
             yield pa.RecordBatch.from_arrays(arrays, names=[*cols, score_col, keep_col])
 
-    staged = docs.select(*[F.col(q(c)) for c in cols], F.col(q(text_col)).alias(raw))
+    staged = numbered(docs, cols, F.col(q(text_col)).alias("text"))
     return staged.mapInArrow(score, schema)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textloom.llm import class_lm, embed_dedup, exact_dedup, langid, line_dedup, ngram_join, packing, quality
+from textloom.llm import bpe, chat_template, class_lm, embed_dedup, exact_dedup, langid, line_dedup, ngram_join, packing, quality
 from textloom.llm.common import table
 
 
@@ -33,6 +34,19 @@ def op2_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.score(docs, class_lm.train(docs))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = chat_template.format_chats(table(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("spans", lambda s: F.format_string("%d:%d", s["start"], s["end"])), ",")
+    return chats.select("conv_id", "text", spans.alias("spans"), "n_turns")
+
+
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    return bpe.bpe_encode(table(spark, sf_dir, "documents"), vocabulary, verify=True)
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -102,6 +116,20 @@ SQL = {
                round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine
         FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
         WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.95""",
+    "op3_chat_format": """
+        WITH piece AS (
+          SELECT conv_id, turn, role, '<|im_start|>' || role || chr(10) AS head, text || '<|im_end|>' AS body
+          FROM conversations),
+        placed AS (
+          SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (
+                   PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                   + length(head) AS at
+          FROM piece)
+        SELECT conv_id, string_agg(head || body || chr(10), '' ORDER BY turn) AS text,
+               coalesce(string_agg(CAST(CAST(at AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(at + length(body) AS BIGINT) AS VARCHAR), ','
+                 ORDER BY turn) FILTER (WHERE role = 'assistant'), '') AS spans,
+               CAST(count(*) AS INT) AS n_turns
+        FROM placed GROUP BY conv_id""",
     "op6_exact_dedup": """
         SELECT doc_id, text, lang, source, n_chars FROM (
           SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS nth FROM documents)
