@@ -2,52 +2,107 @@
 
 Every window of ``min_lines`` consecutive non-blank lines selects its least line hash (the rightmost on
 ties) as fingerprint, so any run of at least that many lines that occurs twice has the same fingerprint
-in both places. Windows are joined by fingerprint and window hash; each occurrence after the first,
-in (id, row, line) order, matches an earlier place. A longer match consists of the windows to the left
-and right of its fingerprints, so taking every matched window extends each match both ways to its full
-length, in time linear in the number of lines even for lines that occur in most documents. A line of
-``min_words`` words or more is a run of its own. Lines of later runs are deleted.
+in both places. Neighbouring windows that select the same line share one fingerprint position, and only
+these positions shuffle, each with the lines around it that its windows reach. Positions are joined by
+fingerprint; each match is extended to the left and to the right through the windows around the
+fingerprint, and from one fingerprint to the next, so it reaches its full length in time linear in the
+number of lines, even for lines that occur in most documents. Of the places where a run occurs the first
+in (id, row, line) order stays and the lines of later ones are deleted. A line of ``min_words`` words or
+more is a run of its own.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from textloom.llm.arrays import Hasher, mix, ranges, row_slices, text_bytes
 from textloom.llm.common import fresh, q, row_key
 
+SLICE_BYTES = 1 << 22
+
+
+def full_lines(column: pa.Array, hasher: Hasher):
+    """Document, position, hash and number of blanks of each line that is not blank.
+
+    A line is hashed without the blanks around it.
+    """
+    buf, offsets = text_bytes(column)
+    ends = np.flatnonzero(buf == 10)
+    starts = np.concatenate([[0], ends[:-1] + 1])[: len(ends)]
+    doc = np.searchsorted(offsets, starts, side="right") - 1
+    first = np.searchsorted(starts, offsets[:-1])
+    pos = np.arange(len(starts)) - first[doc] if len(starts) else starts
+    blanks = np.concatenate([[0], np.cumsum(buf == 32)])
+    inked = np.flatnonzero((buf != 32) & (buf != 10))
+    a, b = np.searchsorted(inked, starts), np.searchsorted(inked, ends)
+    full = a < b
+    a, b = inked[a[full]], inked[b[full] - 1] + 1
+    return doc[full], pos[full].astype(np.int32), hasher.ranges(buf, a, b), (blanks[ends] - blanks[starts])[full]
+
+
+def fingerprints(doc: np.ndarray, h: np.ndarray, w: int):
+    """(fingerprint, first line, windows) of each fingerprint position, and the hash of each window by its first line.
+
+    The windows of a position begin at consecutive lines, from the first one given.
+    """
+    n = len(h) - w + 1
+    if n < 1:
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none, np.zeros(0, np.uint64)
+    around = np.lib.stride_tricks.sliding_window_view(h, w)
+    at = np.arange(n)
+    chosen = at + w - 1 - around[:, ::-1].argmin(1)
+    name = np.full(n, w, np.uint64)
+    for i in range(w):
+        name = mix(name * np.uint64(0x9E3779B97F4A7C15) + around[:, i])
+    inside = doc[:n] == doc[w - 1 :]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1] | (chosen[1:] != chosen[:-1])
+    first = at[begins]
+    number = np.diff(np.append(np.cumsum(inside)[first] - 1, inside.sum()))
+    return h[chosen[first]], first, number, name
+
 
 def repeated_lines(docs: DataFrame, text_col: str, id_col: str, min_lines: int, min_words: int) -> DataFrame:
     """(key, lines): for each row that loses lines, its row key and the positions of those lines."""
-    base = docs.where(F.col(q(text_col)).isNotNull()).select(
-        row_key(id_col, text_col).alias("key"),
-        F.col(q(id_col)).alias("id"),
-        F.explode(F.array(F.split(F.col(q(text_col)), "\n"))).alias("line"),  # explode: split once
-    )
-    marks = base.select(
-        "key",
-        "id",
-        F.explode(
-            F.array(
-                F.expr(
-                    "filter(transform(line, (x, i) -> struct(i as pos, xxhash64(trim(x)) as h, trim(x) <> '' as ok,"
-                    f" length(x) - length(replace(x, ' ', '')) >= {min_words - 1} as long)), m -> m.ok)"
-                )
-            )
-        ).alias("m"),
+    if min_lines < 1:
+        raise ValueError("min_lines must be at least 1")
+    kind, w = docs.schema[id_col].dataType, min_lines
+    schema = T.StructType([T.StructField("fp", T.LongType()), T.StructField("key", T.LongType()), T.StructField("id", kind)])
+    schema = schema.add("windows", T.ArrayType(T.LongType())).add("places", T.ArrayType(T.IntegerType()))
+
+    def lists(values, starts, lengths):
+        ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values[ranges(starts, lengths)]))
+
+    def emit(batches):
+        hasher = Hasher()
+        for batch in (b.slice(*part) for b in batches for part in row_slices(b.column(2), SLICE_BYTES)):
+            doc, pos, h, blanks = full_lines(batch.column(2), hasher)
+            fp, first, number, name = fingerprints(doc, h, w)
+            alone = np.flatnonzero(blanks >= min_words - 1)
+            one = np.ones(len(alone), np.int64)
+            parts = [
+                (fp, first, lists(name.view(np.int64), first, number), lists(pos, first, number + w - 1)),
+                (h[alone], alone, lists(mix(~h).view(np.int64), alone, one), lists(pos, alone, one)),
+            ]
+            for prints, lines, windows, places in parts:
+                if len(lines):
+                    rows = pa.array(doc[lines])
+                    arrays = [pa.array(prints.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), windows, places]
+                    yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    staged = docs.where(F.col(q(text_col)).isNotNull()).select(
+        row_key(id_col, text_col).alias("key"), F.col(q(id_col)).alias("id"), F.col(q(text_col)).alias("text")
     )
-    w = min_lines
-    windows = F.expr(
-        f"""concat(
-          transform(filter(m, x -> x.long), x -> struct(x.h as fp, x.h as win, array(x.pos) as pos)),
-          transform(
-            transform(if(size(m) >= {w}, sequence(1, size(m) - {w - 1}), cast(array() as array<int>)), i -> slice(m, i, {w})),
-            s -> struct(
-              array_min(transform(s, x -> x.h)) as fp,
-              aggregate(s, {w}L, (a, x) -> xxhash64(a, x.h)) as win,
-              transform(s, x -> x.pos) as pos)))"""
+    joined = staged.mapInArrow(emit, schema).repartition("fp")
+    rows = joined.select("fp", "key", "id", "places", F.posexplode("windows").alias("i", "win")).select(
+        "fp", "key", "id", "win", F.expr("slice(places, i + 1, if(size(places) > 1, int({}), 1))".format(w)).alias("pos")
     )
-    rows = marks.select("key", "id", F.inline(windows))
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("key"), F.col("pos")[0])
     later = F.dense_rank().over(Window.partitionBy("fp", "win").orderBy(order)) > 1
     return (
