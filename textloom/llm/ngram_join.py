@@ -31,6 +31,7 @@ from textloom.llm.common import cut, fresh, maybe_broadcast, q, row_key
 BROADCAST_BYTES = 64 << 20
 MAX_HOT = 1 << 18
 BLOCK_GRAMS = 1 << 19
+FRAGMENT_GRAMS = 1 << 20
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -241,16 +242,15 @@ def overlapped(rows: DataFrame, n: int, fragments: int, hot: np.ndarray):
         h, sig = h[order], sig[order].astype(np.int64)
         codes, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
         at, step = np.arange(len(h)), 1
-        found = []
         while True:
             at = at[at + step < len(h)]
             at = at[h[at] == h[at + step]]
             if not len(at):
                 break
-            found.append(sig[at] * len(names) + sig[at + step])
+            new, often = np.unique(sig[at] * len(names) + sig[at + step], return_counts=True)
+            codes, place = np.unique(np.concatenate([codes, new]), return_inverse=True)
+            times = np.bincount(place, weights=np.concatenate([times, often])).astype(np.int64)
             step += 1
-        if found:
-            codes, times = np.unique(np.concatenate(found), return_counts=True)
         a, b = (names[codes // len(names)], names[codes % len(names)]) if len(codes) else (codes, codes)
         return pa.table([pa.array(a), pa.array(b), pa.array(times.astype(np.int64))], schema=out)
 
@@ -367,13 +367,14 @@ def ngram_sets_join(
     alive = members.where("least").join(shared, F.col("sig") == F.col("shared_sig"))
     alive = cut(alive.where(F.col("shared") >= F.ceil(F.col("size") * threshold - 1e-9)).select("sig", "size", "key"))
     top = found.where("kind = 2").orderBy(F.desc("b"), "a").limit(MAX_HOT).select("a").toPandas()
-    side = maybe_broadcast(
-        alive.select("sig", F.col("key").alias("alive_key")), alive.count(), 64, BROADCAST_BYTES
-    )
+    many, grams = alive.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    side = maybe_broadcast(alive.select("sig", F.col("key").alias("alive_key")), many, 64, BROADCAST_BYTES)
     texts = keyed.join(side, F.col("key") == F.col("alive_key"))
-    hots, partial = overlapped(texts.select("sig", "text"), n, fragments, np.sort(top["a"].to_numpy(np.int64)))
+    # a pair has a row for each fragment that its n-grams fall into: no more fragments than memory asks for
+    wide = max(spark.sparkContext.defaultParallelism, -(-grams // FRAGMENT_GRAMS))
+    hots, partial = overlapped(texts.select("sig", "text"), n, wide, np.sort(top["a"].to_numpy(np.int64)))
     sets = cut(hots.dropDuplicates(["sig"]).join(alive.select("sig", "size"), "sig"))
-    sizes = sets.select("sig", "size", F.size("hot").alias("hots"))
+    sizes = maybe_broadcast(sets.select("sig", "size", F.size("hot").alias("hots")), many, 48, BROADCAST_BYTES)
     pairs = partial.groupBy("a", "b").agg(F.sum("n").alias("n"))
     for end in ("a", "b"):
         pairs = pairs.join(sizes.select(F.col("sig").alias(end), F.col("size").alias(f"{end}n"), F.col("hots").alias(f"{end}h")), end)
