@@ -63,6 +63,11 @@ def is_noise(word: Column) -> Column:
     return word.isin(*sorted(K.NOISE_TERMS))
 
 
+def is_stop(word: Column) -> Column:
+    """Common or noise, in one test."""
+    return word.isin(*sorted(K.COMMON_WORDS | K.NOISE_TERMS))
+
+
 def squeeze(text: Column) -> Column:
     """White space collapsed to single blanks and trimmed."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
@@ -85,7 +90,7 @@ def tokenize_simple(text: Column) -> Column:
 
 def concept_tokens(text: Column) -> Column:
     """Words that queries and concepts are made of: no common words, no noise, two characters or more."""
-    return F.filter(tokenize(text), lambda w: ~is_common(w) & ~is_noise(w))
+    return F.filter(tokenize(text), lambda w: ~is_stop(w))
 
 
 def chunk_words(text: Column) -> Column:
@@ -150,22 +155,22 @@ def ngrams(words: Column, n: int) -> Column:
 def indexable_ngrams(words: Column, max_n: int = 4, boundaries: bool = True, unigrams: bool = True, min_n: int = 2) -> Column:
     """array<struct<gram, size>>: runs of ``min_n`` to ``max_n`` words, every occurrence, whose first and last words are
     neither common nor noise, and with ``unigrams`` each distinct word of five characters or more that is neither."""
-    def grams(w):
+    def grams(marked):
         def of_size(n):
-            runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.slice(w, i, n))
+            runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(marked) - n + 1, F.lit(1))), lambda i: F.slice(marked, i, n))
             runs = F.filter(runs, lambda r: F.size(r) == n)
             if boundaries:
-                ok = lambda x: ~is_common(F.lower(x)) & ~is_noise(F.lower(x))
-                runs = F.filter(runs, lambda r: ok(r[0]) & ok(r[n - 1]))
-            return F.transform(runs, lambda r: F.struct(F.concat_ws(" ", r).alias("gram"), F.lit(n).alias("size")))
+                runs = F.filter(runs, lambda r: r[0]["ok"] & r[n - 1]["ok"])
+            return F.transform(runs, lambda r: F.struct(F.concat_ws(" ", r["w"]).alias("gram"), F.lit(n).alias("size")))
 
         parts = [of_size(n) for n in range(min_n, max_n + 1)]
         if unigrams:
-            single = F.filter(F.array_distinct(w), lambda x: ~is_common(x) & ~is_noise(x) & (F.length(x) > 4))
-            parts.append(F.transform(single, lambda x: F.struct(x.alias("gram"), F.lit(1).alias("size"))))
+            single = F.array_distinct(F.filter(marked, lambda m: m["ok"] & (F.length(m["w"]) > 4)))
+            parts.append(F.transform(single, lambda m: F.struct(m["w"].alias("gram"), F.lit(1).alias("size"))))
         return F.concat(*parts)
 
-    return let(words, grams)
+    # each word is tested once, however many runs it bounds
+    return let(F.transform(words, lambda w: F.struct(w.alias("w"), (~is_stop(F.lower(w))).alias("ok"))), grams)
 
 
 def strip_suffix(word: Column, suffixes: list[str]) -> Column:
@@ -467,7 +472,7 @@ def is_technical_term(word: Column) -> Column:
     ends = reduce(lambda a, b: a | b, (word.endswith(s) & (F.length(word) > len(s) + 1) for s in TECHNICAL_SUFFIXES))
     consonants = F.length(word) - F.length(F.regexp_replace(word, "[bcdfghjklmnpqrstvwxyz]", ""))
     dense = (consonants / F.greatest(F.length(word), F.lit(1)) > 0.65) & (F.length(word) > 4)
-    return (F.length(word) >= 3) & ~is_common(word) & ~is_noise(word) & (ends | dense)
+    return (F.length(word) >= 3) & ~is_stop(word) & (ends | dense)
 
 
 def strip_articles(term: Column) -> Column:
