@@ -7,8 +7,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.classic.column import Column as ClassicColumn
 
 from textloom import constants as K
 
@@ -55,17 +57,33 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"(?U)\S+"))
 
 
+STOP_TERMS = K.COMMON_WORDS | K.NOISE_TERMS
+_LISTS: dict = {}
+
+
+def member(word: Column, words: frozenset) -> Column:
+    """Whether a word is one of many; the list goes to the JVM once, not a literal at a time for each use."""
+    sc = SparkContext.getOrCreate()
+    held = _LISTS.get(words)
+    if held is None or held[0] is not sc._jvm:
+        made = sc._jvm.java.util.ArrayList()
+        for w in sorted(words):
+            made.add(w)
+        held = _LISTS[words] = sc._jvm, made
+    return ClassicColumn(word._jc.isInCollection(held[1]))
+
+
 def is_common(word: Column) -> Column:
-    return word.isin(*sorted(K.COMMON_WORDS))
+    return member(word, K.COMMON_WORDS)
 
 
 def is_noise(word: Column) -> Column:
-    return word.isin(*sorted(K.NOISE_TERMS))
+    return member(word, K.NOISE_TERMS)
 
 
 def is_stop(word: Column) -> Column:
     """Common or noise, in one test."""
-    return word.isin(*sorted(K.COMMON_WORDS | K.NOISE_TERMS))
+    return member(word, STOP_TERMS)
 
 
 def squeeze(text: Column) -> Column:
@@ -157,11 +175,13 @@ def indexable_ngrams(words: Column, max_n: int = 4, boundaries: bool = True, uni
     neither common nor noise, and with ``unigrams`` each distinct word of five characters or more that is neither."""
     def grams(marked):
         def of_size(n):
-            runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(marked) - n + 1, F.lit(1))), lambda i: F.slice(marked, i, n))
-            runs = F.filter(runs, lambda r: F.size(r) == n)
+            at = F.sequence(F.lit(0), F.greatest(F.size(marked) - n, F.lit(0)))
+            fits = lambda i: i + n <= F.size(marked)
             if boundaries:
-                runs = F.filter(runs, lambda r: r[0]["ok"] & r[n - 1]["ok"])
-            return F.transform(runs, lambda r: F.struct(F.concat_ws(" ", r["w"]).alias("gram"), F.lit(n).alias("size")))
+                at = F.filter(at, lambda i: fits(i) & F.get(marked, i)["ok"] & F.get(marked, i + (n - 1))["ok"])
+            else:
+                at = F.filter(at, fits)
+            return F.transform(at, lambda i: F.struct(F.concat_ws(" ", F.slice(marked, i + 1, n)["w"]).alias("gram"), F.lit(n).alias("size")))
 
         parts = [of_size(n) for n in range(min_n, max_n + 1)]
         if unigrams:
@@ -174,12 +194,12 @@ def indexable_ngrams(words: Column, max_n: int = 4, boundaries: bool = True, uni
 
 
 def strip_suffix(word: Column, suffixes: list[str]) -> Column:
-    """The word without the first listed suffix that leaves three characters or more."""
-    out = word
-    for s in reversed(suffixes):
-        cut = F.substring(word, F.lit(1), F.length(word) - len(s))
-        out = F.when(word.endswith(s) & (F.length(word) >= len(s) + 3), cut).otherwise(out)
-    return F.when(F.length(word) <= 3, word).otherwise(out)
+    """The word without the first listed suffix that leaves three characters or more.
+
+    One pattern with a branch for each suffix, in their order; only the branch that matches has text.
+    """
+    branches = "|".join(f"(.{{3,}}){s}" for s in suffixes)
+    return F.regexp_replace(word, f"^(?:{branches})$", "".join(f"${i + 1}" for i in range(len(suffixes))))
 
 
 def stem(word: Column) -> Column:
@@ -216,7 +236,7 @@ def toc_ratio(text: Column) -> Column:
 def noise_share(text: Column, noise: frozenset = K.NOISE_TERMS) -> Column:
     def ratio(w):
         return F.when(F.size(w) == 0, F.lit(0.0)).otherwise(
-            F.size(F.filter(w, lambda x: x.isin(*sorted(noise)))) / F.greatest(F.size(w), F.lit(1))
+            F.size(F.filter(w, lambda x: member(x, noise))) / F.greatest(F.size(w), F.lit(1))
         )
 
     return let(split_words(F.lower(text)), ratio)
@@ -469,7 +489,7 @@ def metadata(text: Column, filename: Column | None = None) -> Column:
 
 
 def is_technical_term(word: Column) -> Column:
-    ends = reduce(lambda a, b: a | b, (word.endswith(s) & (F.length(word) > len(s) + 1) for s in TECHNICAL_SUFFIXES))
+    ends = word.rlike(f".{{2,}}(?:{'|'.join(TECHNICAL_SUFFIXES)})$")
     consonants = F.length(word) - F.length(F.regexp_replace(word, "[bcdfghjklmnpqrstvwxyz]", ""))
     dense = (consonants / F.greatest(F.length(word), F.lit(1)) > 0.65) & (F.length(word) > 4)
     return (F.length(word) >= 3) & ~is_stop(word) & (ends | dense)
@@ -507,6 +527,6 @@ def is_concept_noise(term: Column, general: bool = False) -> Column:
     """Whether a term says nothing: URLs, only common words or noise, bare numbers, one character."""
     common, noise = (K.GENERAL_WORDS, K.GENERAL_NOISE) if general else (K.COMMON_WORDS, K.NOISE_TERMS)
     words = split_words(F.lower(term))
-    empty = F.size(F.filter(words, lambda w: ~w.isin(*sorted(common)) & ~w.isin(*sorted(noise)))) == 0
+    empty = F.size(F.filter(words, lambda w: ~member(w, common | noise))) == 0
     number = term.rlike(r"\d") & (F.size(words) <= 2) & ~term.rlike(r"\p{L}")
     return is_url_noise(term, noise) | empty | number | (F.length(F.trim(term)) < 2)

@@ -349,11 +349,12 @@ def chunk(
         made = with_overlap(made, config.chunk_overlap_sentences, "id", small_only=name == "hierarchical")
     prefix = {"hierarchical": "small_", "code": "code_"}.get(name, "chunk_")
     chunk_id = F.concat(F.lit(prefix), F.col("idx").cast("string"))
+    section = F.col("section")
     if name == "hierarchical":
-        chunk_id = F.when(F.col("section").startswith("large_"), F.col("section")).otherwise(chunk_id)
-        made = made.withColumn("section", F.when(F.col("section").startswith("large_"), "").otherwise(F.col("section")))
+        chunk_id = F.when(section.startswith("large_"), section).otherwise(chunk_id)
+        section = F.when(section.startswith("large_"), "").otherwise(section)
     return made.select(
-        F.col("id").alias(id_col), chunk_id.alias("chunk_id"), "idx", "section", "page", "text",
+        F.col("id").alias(id_col), chunk_id.alias("chunk_id"), "idx", section.alias("section"), "page", "text",
         X.word_count(F.col("text")).alias("word_count"), "words", "original_text",
     )
 

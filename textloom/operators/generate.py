@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.functions import text as X
 
@@ -214,4 +215,4 @@ def generate(prompts: DataFrame, backend: Backend, prompt_col: str = "prompt") -
             frame["answer"] = answers
             yield frame
 
-    return prompts.mapInPandas(run, prompts.schema.add("answer", "string"))
+    return prompts.mapInPandas(run, T.StructType([*prompts.schema.fields, T.StructField("answer", T.StringType())]))

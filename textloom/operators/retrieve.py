@@ -144,7 +144,7 @@ def hash_retrieve(
 
 
 def rerank_content(words: Column) -> Column:
-    return F.array_distinct(F.filter(words, lambda w: ~w.isin(*sorted(K.RERANK_STOP_WORDS | K.NOISE_TERMS)) & (F.length(w) > 2)))
+    return F.array_distinct(F.filter(words, lambda w: ~X.member(w, K.RERANK_STOP_WORDS | K.NOISE_TERMS) & (F.length(w) > 2)))
 
 
 def share(a: Column, b: Column) -> Column:
@@ -284,7 +284,7 @@ def query_specificity(query: Column) -> Column:
     words = X.split_words(F.regexp_replace(F.lower(query), r"(?U)[^\w\s]", " "))
 
     def score(w):
-        content = F.size(F.filter(w, lambda x: ~x.isin(*sorted(K.GATE_STOP_WORDS)) & (F.length(x) > 2)))
+        content = F.size(F.filter(w, lambda x: ~X.member(x, K.GATE_STOP_WORDS) & (F.length(x) > 2)))
         quoted = F.contains(query, F.lit('"')) | F.contains(query, F.lit("'"))
         special = F.lower(query).rlike("|".join(SPECIFIC))
         s = content / F.greatest(F.size(w), F.lit(1)) + F.when(quoted, 0.2).otherwise(0.0) + F.when(special, 0.1).otherwise(0.0)
@@ -391,7 +391,7 @@ def document_relevance(queries: DataFrame, chunks: DataFrame, concepts: DataFram
         head = head.join(labels, id_col, "left")
     else:
         head = head.withColumn("labels", F.lit(""))
-    content = F.array_distinct(F.filter(X.split_words(F.lower("query")), lambda w: ~w.isin(*sorted(K.RELEVANCE_STOP_WORDS)) & (F.length(w) > 2)))
+    content = F.array_distinct(F.filter(X.split_words(F.lower("query")), lambda w: ~X.member(w, K.RELEVANCE_STOP_WORDS) & (F.length(w) > 2)))
     rows = queries.select("query_id", F.coalesce(content, strings()).alias("w")).crossJoin(head)
     worth = F.transform("w", lambda x: F.when(F.contains(F.col("head"), x), 1.0).when(F.contains(F.coalesce("labels", F.lit("")), x), 0.5).otherwise(0.0))
     total = F.aggregate(worth, F.lit(0.0), lambda a, x: a + x)

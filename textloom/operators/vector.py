@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.functions import measures as M
 from textloom.functions import text as X
@@ -141,7 +142,8 @@ def embed_with(texts: DataFrame, model: Callable[[list[str]], list[list[float]]]
             frame[out_col] = [[float(x) for x in v] for v in found]
             yield frame
 
-    return texts.mapInPandas(run, texts.schema.add(out_col, "array<double>"))
+    schema = T.StructType([*texts.schema.fields, T.StructField(out_col, T.ArrayType(T.DoubleType()))])
+    return texts.mapInPandas(run, schema)
 
 
 def remote_model(url: str, key: str | None = None, name: str = "", send: Callable | None = None, batch: int = 100) -> Callable[[list[str]], list[list[float]]]:

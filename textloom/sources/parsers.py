@@ -82,7 +82,7 @@ def rst_text(rst: Column) -> Column:
     for mark, level in RST_LEVELS.items():
         t = F.regexp_replace(t, rf"(?m)^(?=\S)([^\n]+)\n\{mark}{{3,}}[^\S\n]*$", "#" * level + " $1")
     for pattern, to in (
-        (r"(?m)^\.\.[^\S\n]+[\w-]+::[^\n]*$", ""), (r"(?m)^\.\.[^\S\n][^\n]*$", ""), (r"(?m)^[^\S\n]*:[\w -]+:[^\n]*$", ""),
+        (r"(?m)^\.\.[^\S\n]+[\w-]+::[^\n]*$", ""), (r"(?m)^\.\.[^\S\n][^\n]*$", ""), (r"(?m)^[^\S\n]*:[\w -]+:(?:[^\S\n][^\n]*)?$", ""),
         (r":[\w:]+:`([^`]+)`", "$1"), (r"``([^`]+)``", "$1"), (r"`([^`<]+?)\s*<[^>]+>`_{1,2}", "$1"), (r"`([^`]+)`_?", "$1"),
         (r"(\*\*|\*)(?=\S)(.+?)(?<=\S)\1", "$2"), (r"::[^\S\n]*$", ":"),
     ):
