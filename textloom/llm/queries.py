@@ -123,10 +123,10 @@ SQL = {
         placed AS (
           SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (
                    PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
-                   + length(head) AS at
+                   + length(head) AS spot
           FROM piece)
         SELECT conv_id, string_agg(head || body || chr(10), '' ORDER BY turn) AS text,
-               coalesce(string_agg(CAST(CAST(at AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(at + length(body) AS BIGINT) AS VARCHAR), ','
+               coalesce(string_agg(CAST(CAST(spot AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(spot + length(body) AS BIGINT) AS VARCHAR), ','
                  ORDER BY turn) FILTER (WHERE role = 'assistant'), '') AS spans,
                CAST(count(*) AS INT) AS n_turns
         FROM placed GROUP BY conv_id""",
