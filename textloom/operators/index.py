@@ -11,7 +11,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom import constants as K
 from textloom.functions import measures as M
 from textloom.functions import text as X
 
@@ -335,5 +334,3 @@ def top_concepts(concepts_: DataFrame, n: int = 20, id_col: str = "doc_id") -> D
     order = Window.partitionBy(id_col).orderBy(F.desc("score"), F.desc("frequency"), "concept_id")
     return concepts_.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= n).drop("__r")
 
-
-STOP_WORDS = K.COMMON_WORDS
