@@ -23,6 +23,7 @@ from textloom.llm.arrays import Hasher, mix, ranges, row_slices, text_bytes
 from textloom.llm.common import fresh, q, row_key
 
 SLICE_BYTES = 1 << 22
+PIECE_BYTES = 1 << 19
 
 
 def full_lines(column: pa.Array, hasher: Hasher):
@@ -36,12 +37,23 @@ def full_lines(column: pa.Array, hasher: Hasher):
     doc = np.searchsorted(offsets, starts, side="right") - 1
     first = np.searchsorted(starts, offsets[:-1])
     pos = np.arange(len(starts)) - first[doc] if len(starts) else starts
-    blanks = np.concatenate([[0], np.cumsum(buf == 32)])
-    inked = np.flatnonzero((buf != 32) & (buf != 10))
-    a, b = np.searchsorted(inked, starts), np.searchsorted(inked, ends)
-    full = a < b
-    a, b = inked[a[full]], inked[b[full] - 1] + 1
-    return doc[full], pos[full].astype(np.int32), hasher.ranges(buf, a, b), (blanks[ends] - blanks[starts])[full]
+    full, hashes, blanks = [np.zeros(0, bool)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    at = 0
+    while at < len(starts):  # some hundred kilobytes of whole lines at a time, for memory
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + PIECE_BYTES)))
+        base = starts[at]
+        piece = buf[base : ends[to - 1] + 1]
+        s, e = starts[at:to] - base, ends[at:to] - base
+        spaces = np.concatenate([[0], np.cumsum(piece == 32, dtype=np.int32)])
+        inked = np.flatnonzero((piece != 32) & (piece != 10))
+        a, b = np.searchsorted(inked, s), np.searchsorted(inked, e)
+        some = a < b
+        hashes.append(hasher.ranges(piece, inked[a[some]], inked[b[some] - 1] + 1))
+        blanks.append((spaces[e] - spaces[s])[some].astype(np.int64))
+        full.append(some)
+        at = to
+    keep = np.concatenate(full)
+    return doc[keep], pos[keep].astype(np.int32), np.concatenate(hashes), np.concatenate(blanks)
 
 
 def fingerprints(doc: np.ndarray, h: np.ndarray, w: int):
