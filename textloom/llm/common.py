@@ -33,6 +33,13 @@ def numbered(df: DataFrame, columns: list[str], *extra: Column) -> DataFrame:
     return df.select(*[F.col(q(c)).alias(f"c{i}") for i, c in enumerate(columns)], *extra)
 
 
+def with_text(df: DataFrame, columns: list[str], text_col: str) -> tuple[DataFrame, int]:
+    """:func:`numbered` columns and the place of the text among them; it is added only where it is not one of them."""
+    if text_col in columns:
+        return numbered(df, columns), columns.index(text_col)
+    return numbered(df, columns, F.col(q(text_col)).alias("text")), len(columns)
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     """64 bits that name a row: rows that repeat both id and text share them, null ids included."""
     return F.xxhash64(F.col(q(id_col)), F.col(q(text_col)))

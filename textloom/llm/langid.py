@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.arrays import WORD_BYTE, Hasher, pieces, row_slices, spans, text_bytes
-from textloom.llm.common import numbered, q
+from textloom.llm.common import q, with_text
 
 GRAM_BITS, AFFIX_BITS, LEXICON_BITS = 16, 16, 18
 LINES_WORDS = 1 << 18
@@ -274,9 +275,9 @@ def identify(
     def tag(batches):
         hasher, n = Hasher(), max(1, len(model.languages))
         known = pa.array(model.languages or [None], pa.string())
-        for batch in (b.slice(*part) for b in batches for part in row_slices(b.column(len(cols)), SLICE_BYTES)):
+        for batch in (b.slice(*part) for b in batches for part in row_slices(b.column(place), SLICE_BYTES)):
             if model.languages:
-                label, sure, bounds = model.label(batch.column(len(cols)), hasher)
+                label, sure, bounds = model.label(pc.utf8_lower(batch.column(place)), hasher)
             else:
                 label, sure, bounds = np.zeros(0, np.int64), np.zeros(0), np.zeros(len(batch) + 1, np.int64)
             words = np.diff(bounds)
@@ -302,5 +303,5 @@ def identify(
             arrays = batch.columns[: len(cols)] + [made[x] for x in names]
             yield pa.RecordBatch.from_arrays(arrays, names=[*cols, *names])
 
-    staged = numbered(docs, cols, F.lower(F.col(q(text_col))).alias("text"))
+    staged, place = with_text(docs, cols, text_col)
     return staged.mapInArrow(tag, blank.schema)

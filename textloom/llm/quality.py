@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import numbered, q
+from textloom.llm.common import q, with_text
 
 LEVEL = 3
 PRIOR = 200
@@ -141,11 +141,11 @@ def quality_scores(
     def score(batches):
         good, bad = model.compressors()
         for batch in batches:
-            texts = batch.column(len(cols)).cast(pa.large_binary())
+            texts = batch.column(place).cast(pa.large_binary())
             d = np.array([model.difference(t.as_py() or b"", good, bad) for t in texts], float)
             p = model.probability(d)
             arrays = batch.columns[: len(cols)] + [pa.array(p, pa.float64()), pa.array(p >= model.threshold)]
             yield pa.RecordBatch.from_arrays(arrays, names=[*cols, score_col, keep_col])
 
-    staged = numbered(docs, cols, F.col(q(text_col)).alias("text"))
+    staged, place = with_text(docs, cols, text_col)
     return staged.mapInArrow(score, schema)
