@@ -30,3 +30,9 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, read from the shared folder."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over as many partitions as there are cores, if the source has fewer splits (one small file, say)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.rdd().getNumPartitions() >= cores else df.repartition(cores)

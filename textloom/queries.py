@@ -42,7 +42,7 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fixed = chunking.fixed_chunks(table(spark, sf_dir, "documents"), CHUNK)
+    fixed = chunking.fixed_chunks(shared.spread(table(spark, sf_dir, "documents")), CHUNK)
     return fixed.withColumn("text", F.array_join("words", " "))
 
 
