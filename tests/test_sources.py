@@ -143,7 +143,7 @@ def test_code_chunks_and_pages(spark):
     assert [r[1] for r in rows] == ["header", "class:Alpha", "function:beta"]
     go = list(C.code("func (s *S) Run(a int) error { return nil }\n", Config(), "go"))
     assert go[-1][1] == "function:Run"
-    pages = list(C.page("first page words\fsecond\npage 3\nthird", Config(chunk_min_words=1)))
+    pages = list(C.page("first page words\fsecond\npage 3\nthird", Config(min_chunk_words=1)))
     assert [p[0] for p in pages] == ["first page words", "second", "third"]
     texts = spark.createDataFrame([(1, "aa bb cc dd ee ff gg hh ii jj kk ll")], "doc_id long, text string")
     spans = spark.createDataFrame([(1, 0, 12, 1), (1, 12, 99, 2)], "doc_id long, start int, end int, page int")
