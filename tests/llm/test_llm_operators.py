@@ -202,6 +202,30 @@ def test_ngram_join_cases(spark):
     assert ids.count("4") == 2 and len(ids) == len(rows) - 4
 
 
+@pytest.mark.parametrize("run", [2, 1 << 10])
+def test_ngram_join_gives_all_pairs(spark, monkeypatch, run):
+    monkeypatch.setattr(ngram_join, "RUN", run)
+    rows = near_corpus(5)
+    rows += [(1000 + i, t) for i, t in rows[::3]] + [(2000 + i, t) for i, t in rows[::9]]
+    sets = sorted(sets_by_hand(rows).items())
+    want = {}
+    for k, (i, s) in enumerate(sets):
+        for j, t in sets[k + 1 :]:
+            if len(s & t) >= 0.5 * len(s | t):
+                want[i, j] = len(s & t) / len(s | t)
+    got = ngram_join.ngram_all_pairs(docs_of(spark, rows)).collect()
+    assert len(got) == len(want)
+    assert {(r.doc_id_a, r.doc_id_b): pytest.approx(r.jaccard) for r in got} == want
+
+
+def test_op7_returns_pairs_of_copies_too(spark, tmp_path):
+    docs_of(spark, [(1, "a b c d"), (2, "a b c d"), (3, "a b c d")]).write.parquet(f"{tmp_path}/documents.parquet")
+    from textloom.llm.queries import op7_ngram_jaccard_join
+
+    got = {(r.doc_id_a, r.doc_id_b) for r in op7_ngram_jaccard_join(spark, str(tmp_path)).collect()}
+    assert got == {(1, 2), (1, 3), (2, 3)}
+
+
 def test_near_duplicates_one_of_each_group(spark):
     rows = near_corpus(6)
     sets = sets_by_hand(rows)

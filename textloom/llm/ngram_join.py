@@ -32,6 +32,8 @@ BROADCAST_BYTES = 64 << 20
 MAX_HOT = 1 << 18
 BLOCK_GRAMS = 1 << 19
 FRAGMENT_GRAMS = 1 << 20
+RUN = 1 << 10
+TASK_PAIRS = 1 << 22
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -343,8 +345,8 @@ def hot_overlaps(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFra
 def ngram_sets_join(
     docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int = 3, threshold: float = 0.5, hot: int = 32
 ) -> tuple[DataFrame, DataFrame]:
-    """(members, edges): members (sig, size, key, id, least) has each document with words once, with the
-    signature of its n-gram set and whether it is the set's least document; edges (a, b, jaccard) has the
+    """(members, edges): members (sig, size, key, id, nth, least) has each document with words once, with the
+    signature of its n-gram set, its place in the set and whether it is the set's least document; edges (a, b, jaccard) has the
     pairs of signatures at or above the threshold, each once."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
@@ -360,7 +362,8 @@ def ngram_sets_join(
         found.where("kind = 1")
         .select(F.col("a").alias("sig"), F.col("b").alias("key"), F.col("id").cast(kind).alias("id"), "size")
         .dropDuplicates(["key"])
-        .withColumn("least", F.row_number().over(order) == 1)
+        .withColumn("nth", F.row_number().over(order))
+        .withColumn("least", F.col("nth") == 1)
     )
     members = cut(members)
     shared = found.where("kind = 0").groupBy(F.col("a").alias("shared_sig")).agg(F.sum("b").alias("shared"))
@@ -416,6 +419,37 @@ def ngram_jaccard_join(
     return star.unionByName(near)
 
 
+def ngram_all_pairs(
+    docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int = 3, threshold: float = 0.5, hot: int = 32
+) -> DataFrame:
+    """As :func:`ngram_jaccard_join`, but with every pair of documents at or above the threshold.
+
+    The star is expanded: all pairs inside a set, at 1.0, and all members of a with all members of b for
+    each edge. Members go into runs of ``RUN``, so that each pair of runs is one row until it is written.
+    """
+    members, edges = ngram_sets_join(docs, text_col, id_col, n, threshold, hot)
+    a, b = f"{id_col}_a", f"{id_col}_b"
+    run = F.floor((F.col("nth") - 1) / RUN).cast("int").alias("run")
+    runs = members.groupBy("sig", run).agg(F.sort_array(F.collect_list(F.struct("nth", "id"))).alias("docs"))
+    runs = cut(runs)
+    own = runs.groupBy("sig").agg(F.sum(F.size("docs")).alias("m")).where("m > 1")
+    wanted = edges.unionByName(own.select(F.col("sig").alias("a"), F.col("sig").alias("b"), F.lit(1.0).alias("jaccard")))
+    for end in ("a", "b"):
+        side = runs.select(F.col("sig").alias(end), F.col("run").alias(f"run_{end}"), F.col("docs").alias(f"docs_{end}"))
+        wanted = wanted.join(side, end)
+    wanted = cut(wanted.where("a <> b or run_a <= run_b"))
+    many = wanted.agg(F.sum(F.size("docs_a").cast("long") * F.size("docs_b"))).first()[0] or 0
+    wide = max(docs.sparkSession.sparkContext.defaultParallelism, -(-many // TASK_PAIRS))
+    each = wanted.repartition(wide, "a", "b", "run_a", "run_b").select("a", "b", "jaccard", "docs_b", F.explode("docs_a").alias("x"))
+    each = each.select("a", "b", "jaccard", "x", F.explode("docs_b").alias("y")).where("a <> b or x.nth < y.nth")
+    swap = F.col("x.id").isNull() | (F.col("y.id") < F.col("x.id"))
+    return each.select(
+        F.when(swap, F.col("y.id")).otherwise(F.col("x.id")).alias(a),
+        F.when(swap, F.col("x.id")).otherwise(F.col("y.id")).alias(b),
+        "jaccard",
+    )
+
+
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, root): the least node of the connected component of each node of (a, b).
 

@@ -48,7 +48,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY)
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
+    return ngram_join.ngram_all_pairs(table(spark, sf_dir, "documents"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
