@@ -4,6 +4,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -261,6 +262,24 @@ def test_vectors(spark):
     assert model(["a", "bb"]) == [[2], [1]]
 
 
+@pytest.mark.parametrize("pairs", [0, 1 << 33])
+def test_lsh_recall_on_the_embeddings(spark, monkeypatch, pairs):
+    monkeypatch.setattr(V, "EXACT_PAIRS", pairs)
+    monkeypatch.setattr(V, "BLOCK_ROWS", 200)
+    from textloom.queries import vector_lsh
+
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    ids = [r.vec_id for r in rows]
+    unit = np.array([r.embedding for r in rows], float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    best = np.argsort(-(unit @ unit.T), axis=1, kind="stable")[:, :5]
+    want = {(ids[i], ids[j]) for i, near in enumerate(best) for j in near if i != j}
+    got = {(r.query_id, r.vec_id) for r in vector_lsh(spark, sf).collect()}
+    assert len(got & want) >= 0.9 * len(want)
+    assert V.agreement_share(V.guaranteed_cosine(0.95, 8, 24), 8, 24) == pytest.approx(0.95)
+
+
 def test_prompts_and_evaluation(spark, chunks):
     results = spark.createDataFrame([(1, 0, 0, 0.5, 1), (1, 0, 1, 0.25, 2)], "query_id int, doc_id long, idx int, score double, rank int")
     asked_ = spark.createDataFrame([(1, "what?"), (2, "why?")], "query_id int, query string")

@@ -8,6 +8,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +17,9 @@ from pyspark.sql import types as T
 from textloom.functions import measures as M
 from textloom.functions import text as X
 
+BLOCK_ROWS = 1 << 13
+EXACT_PAIRS = 1 << 33
+
 
 def with_norms(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(<id>, v, norm): vectors as doubles, without null, empty and zero ones."""
@@ -42,15 +47,75 @@ def vector_search(
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def block_search(
+    queries: DataFrame, vectors: DataFrame, k: int = 5, query_id: str = "query_id", query_col: str = "vector", id_col: str = "vec_id",
+    vec_col: str = "embedding",
+) -> DataFrame:
+    """As :func:`vector_search`, for many queries: each pair of blocks of queries and vectors is one group, scored in numpy."""
+    qs, vs = (max(1, -(-df.count() // BLOCK_ROWS)) for df in (queries, vectors))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dense = F.transform("v", lambda x: F.coalesce(x, F.lit(0.0))).alias("v")
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType)
+    a = with_norms(queries, query_id, query_col).select(
+        block(query_id, qs).alias("qb"), each(vs).alias("vb"), F.col(query_id).alias("q"), none(vectors, id_col).alias("i"), F.lit(True).alias("asks"), dense
+    )
+    b = with_norms(vectors, id_col, vec_col).select(
+        each(qs).alias("qb"), block(id_col, vs).alias("vb"), none(queries, query_id).alias("q"), F.col(id_col).alias("i"), F.lit(False).alias("asks"), dense
+    )
+    schema = T.StructType([T.StructField("q", queries.schema[query_id].dataType), T.StructField("i", vectors.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
+
+    def by_size(column: pa.ChunkedArray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(rows, matrix) of each number of dimensions."""
+        lists = column.combine_chunks()
+        flat, length = lists.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        begin, out = np.cumsum(length) - length, []
+        for n in np.unique(length):
+            rows = np.flatnonzero(length == n)
+            out.append((rows, flat[begin[rows][:, None] + np.arange(n)]))
+        return out
+
+    def best(group: pa.Table) -> pa.Table:
+        asks, has = group.filter(group["asks"]), group.filter(pc.invert(group["asks"]))
+        x, y, s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for left, qm in by_size(asks["v"]):
+            for right, vm in by_size(has["v"]):
+                n = min(qm.shape[1], vm.shape[1])
+                qn, vn = (np.linalg.norm(m[:, :n], axis=1) for m in (qm, vm))
+                for at in range(0, len(left), 512):
+                    length = qn[at : at + 512, None] * vn
+                    score = np.divide(qm[at : at + 512, :n] @ vm[:, :n].T, length, out=np.zeros_like(length), where=length != 0)
+                    rank = np.where(np.isnan(score), np.inf, np.round(score, 9))
+                    least = np.partition(rank, -k, axis=1)[:, -k, None] if k < rank.shape[1] else -np.inf
+                    i, j = np.nonzero(rank >= least)  # with all that are equal to the last
+                    x.append(left[i + at])
+                    y.append(right[j])
+                    s.append(score[i, j])
+        x, y = pa.array(np.concatenate(x)), pa.array(np.concatenate(y))
+        return pa.table({"q": asks["q"].take(x), "i": has["i"].take(y), "score": pa.array(np.concatenate(s))})
+
+    found = a.unionByName(b).groupBy("qb", "vb").applyInArrow(best, schema)
+    rows = found.select(F.col("q").alias(query_id), F.col("i").alias(id_col), "score")
+    order = Window.partitionBy(query_id).orderBy(F.desc(F.round("score", 9)), id_col)
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def lsh_search(
     queries: DataFrame, vectors: DataFrame, k: int = 5, tables: int = 24, bits: int = 8, seed: int = 5, query_id: str = "query_id",
-    query_col: str = "vector", id_col: str = "vec_id", vec_col: str = "embedding",
+    query_col: str = "vector", id_col: str = "vec_id", vec_col: str = "embedding", recall: float = 0.95,
 ) -> DataFrame:
     """As :func:`vector_search`, over the vectors that share a bucket of random hyperplanes with the query.
 
     Signs of ``bits`` random projections name a bucket in each of ``tables`` tables; candidates are met by
-    an equi-join and scored exactly. A query that meets fewer than k vectors is searched exactly.
+    an equi-join and scored exactly. True neighbours score at least what the k-th found one does, so the
+    result stands only if at that cosine the tables meet a vector with probability ``recall``; other
+    queries, and those that meet fewer than k vectors, are searched exactly. So are all queries where they
+    and the vectors make at most ``EXACT_PAIRS`` pairs, as hashing costs more than it saves there.
     """
+    if queries.count() * vectors.count() <= EXACT_PAIRS:
+        return block_search(queries, vectors, k, query_id, query_col, id_col, vec_col)
+    sure = guaranteed_cosine(recall, bits, tables)
+
     def buckets(df: DataFrame, id_: str, col: str) -> DataFrame:
         rows = with_norms(df, id_, col)
         kind = df.schema[id_].dataType.simpleString()
@@ -79,9 +144,9 @@ def lsh_search(
     )
     order = Window.partitionBy(query_id).orderBy(F.desc(F.round("score", 9)), id_col)
     near = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    full = near.where(F.col("rank") == k).select(query_id)
+    full = near.where((F.col("rank") == k) & (F.col("score") >= sure)).select(query_id)
     rest = queries.join(full, query_id, "left_anti")
-    return near.join(full, query_id, "left_semi").unionByName(vector_search(rest, vectors, k, None, query_id, query_col, id_col, vec_col))
+    return near.join(full, query_id, "left_semi").unionByName(block_search(rest, vectors, k, query_id, query_col, id_col, vec_col))
 
 
 def remove_vectors(vectors: DataFrame, gone: DataFrame, id_col: str = "vec_id") -> DataFrame:
@@ -170,3 +235,8 @@ def remote_model(url: str, key: str | None = None, name: str = "", send: Callabl
 def agreement_share(angle_cos: float, bits: int, tables: int) -> float:
     """The probability that two vectors with that cosine share a bucket of :func:`lsh_search`."""
     return 1 - (1 - (1 - math.acos(max(-1.0, min(1.0, angle_cos))) / math.pi) ** bits) ** tables
+
+
+def guaranteed_cosine(recall: float, bits: int, tables: int) -> float:
+    """The least cosine at which :func:`agreement_share` is ``recall``."""
+    return math.cos(math.pi * (1 - (1 - (1 - recall) ** (1 / tables)) ** (1 / bits)))
