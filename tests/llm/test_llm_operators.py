@@ -418,6 +418,29 @@ def test_class_lm_against_brute_force(spark):
     assert class_lm.score(empty, class_lm.train(empty, vocab_bits=8)).count() == 0
 
 
+def test_class_lm_keeps_every_word_apart(spark, monkeypatch):
+    monkeypatch.setattr(class_lm, "LOCAL_BITS", 8)
+    # two words whose hashes agree in 22 bits: one frequent, one rare
+    names = pa.array([f"w{i}" for i in range(20_000)])
+    top = (word_hashes(names, Hasher())[0] >> np.uint64(42)).tolist()
+    seen = {}
+    often, rare = next((seen[x], i) for i, x in enumerate(top) if x in seen or seen.setdefault(x, i) is None)
+    rows = [(i, f"w{often} x y") for i in range(50)] + [(50, f"w{rare} x y")] + [(51, " ".join(f"u{i}" for i in range(2000)))]
+    docs = docs_of(spark, rows)
+    model = class_lm.train(docs, classes=4)
+    want = Counter(w for _, t in rows for w in t.split())
+    words = sorted(want)
+    number = model.vocabulary.numbers(word_hashes(pa.array(words), Hasher())[0])
+    assert len(model.cls) == len(words) + 1 and len(set(number)) == len(words)
+    assert [model.count[k] for k in number] == [want[w] for w in words]
+    assert model.vocabulary.numbers(word_hashes(pa.array(["never"]), Hasher())[0])[0] == len(words)
+    size = np.bincount(model.cls, weights=model.count, minlength=4)[model.cls]
+    own = np.log((model.count + 0.5) / (size + 0.5 * np.bincount(model.cls, minlength=4)[model.cls]))
+    assert np.allclose(model.emissions(), own, atol=1e-5) and model.bigram.sum() == sum(want.values()) + len(rows)
+    got = {r.doc_id: r.log_likelihood for r in class_lm.score(docs, model).collect()}
+    assert got[50] < got[0] - 1
+
+
 def test_class_lm_learns_and_handles_wordless_texts(spark):
     docs = docs_of(spark, corpus(9, 80) + [(500, None), (501, ""), (502, "...")])
     plain = class_lm.train(docs, rounds=0, classes=8, vocab_bits=14)

@@ -6,9 +6,11 @@ word; then each word moves to the class that maximises the likelihood given the
 its own share taken out of the class it leaves. P(w | v) = P(class(w) | class(v)) P(w | class(w)), both
 smoothed, gives each text's likelihood and perplexity.
 
-Words are numbered by ``vocab_bits`` bits of their hash: all words take part and all counts cover the
-whole corpus, while what the driver holds (a class and a count per number) has the same bounded size for
-any corpus. Counts travel as sorted, delta-coded, compressed blocks, one per shard of the numbers.
+Every distinct word has a number of its own: its place in the sorted 64-bit hashes of all words, gathered
+in a first pass. Counts travel as sorted, delta-coded, compressed blocks, one per shard of a fixed number of
+words, so shards grow in number with the vocabulary, not in size. The driver and each worker hold a hash and
+a class (and a count or probability) per distinct word, some 20 bytes. With ``vocab_bits`` words are numbered
+by bits of their hash instead, and what is held has a fixed size, but words share numbers.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from textloom.llm.arrays import Hasher, row_slices, word_hashes
 from textloom.llm.common import cut, q
 
 SHARD_BITS = 8
+LOCAL_BITS = 14
 SLICE_BYTES = 1 << 23
 BLOCKS = "shard int, keys binary, counts binary"
 ARROW = pa.schema([("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -35,9 +38,76 @@ def parts(batches, text: int):
             yield batch.slice(at, rows)
 
 
-def words_in(column: pa.Array, bits: int, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
+class Vocabulary:
+    """Numbers of words: places in sorted ``hashes``, one more for all words not there; or bits of the hash."""
+
+    def __init__(self, hashes: np.ndarray | None, bits: int | None = None) -> None:
+        self.hashes, self.bits, self.first = hashes, bits, None
+
+    def __len__(self) -> int:
+        return 1 << self.bits if self.hashes is None else len(self.hashes) + 1
+
+    def __getstate__(self):
+        return self.hashes, self.bits, None  # the index is built where it is used
+
+    def __setstate__(self, state) -> None:
+        self.hashes, self.bits, self.first = state
+
+    def numbers(self, h: np.ndarray) -> np.ndarray:
+        if self.hashes is None:
+            return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        n = len(self.hashes)
+        wide = max(1, n.bit_length())
+        if self.first is None:  # where the hashes of each prefix begin
+            self.first = np.searchsorted(self.hashes, np.arange(1 << wide, dtype=np.uint64) << np.uint64(64 - wide))
+        at = self.first[(h >> np.uint64(64 - wide)).astype(np.int64)]
+        todo = np.arange(len(h))
+        while len(todo):
+            todo = todo[at[todo] < n]
+            todo = todo[self.hashes[at[todo]] < h[todo]]
+            at[todo] += 1
+        known = at < n
+        known[known] = self.hashes[at[known]] == h[known]
+        return np.where(known, at, n)
+
+
+def words_in(column: pa.Array, vocabulary: Vocabulary, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
     h, bounds = word_hashes(column, hasher)
-    return (h >> np.uint64(64 - bits)).astype(np.int64), bounds
+    return vocabulary.numbers(h), bounds
+
+
+def distinct_words(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted 64-bit hashes of all words, and how often each occurs."""
+    spark = texts.sparkSession
+    top = max(SHARD_BITS, (2 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length())
+
+    def unigrams(batches):
+        hasher, press = Hasher(), zstandard.ZstdCompressor(level=1).compress
+        for batch in parts(batches, 0):
+            h, counts = np.unique(word_hashes(batch.column(0), hasher)[0], return_counts=True)
+            shard = (h >> np.uint64(64 - top)).astype(np.int64)
+            cuts = np.searchsorted(shard, np.arange((1 << top) + 1))
+            rows = [
+                (s, press(np.diff(h[a:b], prepend=np.uint64(0)).tobytes()), press(counts[a:b].astype(np.uint32).tobytes()))
+                for s, (a, b) in enumerate(zip(cuts, cuts[1:]))
+                if a < b
+            ]
+            cols = list(zip(*rows)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, ARROW)], schema=ARROW)
+
+    def added(group: pa.Table) -> pa.Table:
+        expand = zstandard.ZstdDecompressor().decompress
+        h = np.concatenate([np.cumsum(np.frombuffer(expand(x), np.uint64)) for x in group["keys"].to_pylist()])
+        counts = np.concatenate([np.frombuffer(expand(x), np.uint32) for x in group["counts"].to_pylist()])
+        h, place = np.unique(h, return_inverse=True)
+        total = np.bincount(place, weights=counts).astype(np.int64)
+        return pa.table(
+            [group["shard"].combine_chunks()[:1], pa.array([h.tobytes()], pa.binary()), pa.array([total.tobytes()], pa.binary())], schema=ARROW
+        )
+
+    rows = texts.mapInArrow(unigrams, BLOCKS).groupBy("shard").applyInArrow(added, BLOCKS).collect()
+    rows.sort(key=lambda r: r.shard)
+    return tuple(np.frombuffer(b"".join(r[c] for r in rows), kind) for c, kind in (("keys", np.uint64), ("counts", np.int64)))
 
 
 def neighbours(word: np.ndarray, bounds: np.ndarray, cls: np.ndarray, edge: int):
@@ -52,7 +122,7 @@ def neighbours(word: np.ndarray, bounds: np.ndarray, cls: np.ndarray, edge: int)
 
 
 def pack(keys: np.ndarray, counts: np.ndarray, shift: int, extra: list | None = None) -> pa.RecordBatch:
-    """Blocks of sorted keys, by shard (key >> shift), and any extra blocks."""
+    """Blocks of sorted keys, from the shard's first, by shard (key >> shift), and any extra blocks."""
     press = zstandard.ZstdCompressor(level=1).compress
     shard = keys >> shift
     cuts = np.searchsorted(shard, np.arange(int(shard[-1]) + 2)) if len(keys) else np.zeros(1, np.int64)
@@ -60,7 +130,7 @@ def pack(keys: np.ndarray, counts: np.ndarray, shift: int, extra: list | None =
     for s in range(len(cuts) - 1):
         a, b = cuts[s], cuts[s + 1]
         if a < b:
-            delta = np.diff(keys[a:b], prepend=0).astype(np.uint32)
+            delta = np.diff(keys[a:b], prepend=s << shift).astype(np.uint32)
             rows.append((s, press(delta.tobytes()), press(counts[a:b].astype(np.uint32).tobytes())))
     cols = list(zip(*rows)) or [(), (), ()]
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, ARROW)], schema=ARROW)
@@ -76,10 +146,10 @@ def unpack(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """Word counts and classes by word number, and class bigram counts (left, right; the last is the edge)."""
 
-    def __init__(self, bits: int, classes: int, alpha: float) -> None:
-        self.bits, self.classes, self.alpha = bits, classes, alpha
-        self.count = np.zeros(1 << bits, np.int64)
-        self.cls = np.zeros(1 << bits, np.uint8)
+    def __init__(self, vocabulary: Vocabulary, classes: int, alpha: float) -> None:
+        self.vocabulary, self.classes, self.alpha = vocabulary, classes, alpha
+        self.count = np.zeros(len(vocabulary), np.int64)
+        self.cls = np.zeros(len(vocabulary), np.uint8)
         self.bigram = np.zeros((classes + 1, classes + 1))
 
     def start(self) -> None:
@@ -94,7 +164,7 @@ class Model:
         return np.log(n / n.sum(1, keepdims=True))
 
     def emissions(self) -> np.ndarray:
-        """log P(word | its class), by word number; a number that was never seen counts as half a word."""
+        """log P(word | its class), by word number; one that was never seen counts as half a word."""
         size = np.bincount(self.cls, weights=self.count, minlength=self.classes)
         numbers = np.bincount(self.cls, minlength=self.classes)
         return np.log((self.count + 0.5) / (size + 0.5 * numbers)[self.cls]).astype(np.float32)
@@ -125,48 +195,54 @@ def move(left: np.ndarray, right: np.ndarray, cls: np.ndarray, bigram: np.ndarra
 
 
 def train(
-    docs: DataFrame, text_col: str = "text", classes: int = 64, vocab_bits: int = 22, rounds: int = 3, alpha: float = 0.1
+    docs: DataFrame, text_col: str = "text", classes: int = 64, vocab_bits: int | None = None, rounds: int = 3, alpha: float = 0.1
 ) -> Model:
     """Classes and counts from all words of all texts; see the module's text."""
-    if not 2 <= classes <= 127 or not SHARD_BITS <= vocab_bits <= 22:
-        raise ValueError("classes must be 2 to 127, vocab_bits 8 to 22")
+    if not 2 <= classes <= 127 or not (vocab_bits is None or SHARD_BITS <= vocab_bits <= 22):
+        raise ValueError("classes must be 2 to 127, vocab_bits 8 to 22 or None")
     sc = docs.sparkSession.sparkContext
-    model = Model(vocab_bits, classes, alpha)
     texts = docs.where(F.col(q(text_col)).isNotNull()).select(F.lower(F.col(q(text_col))).alias("text"))
-    local = vocab_bits - SHARD_BITS
-
-    def unigrams(batches):
-        hasher = Hasher()
-        for batch in parts(batches, 0):
-            word, _ = words_in(batch.column(0), vocab_bits, hasher)
-            keys, counts = np.unique(word, return_counts=True)
-            yield pack(keys, counts, local)
+    if vocab_bits is None:
+        hashes, counts = distinct_words(texts)
+        model, local = Model(Vocabulary(hashes), classes, alpha), LOCAL_BITS
+        model.count[:-1] = counts
+    else:
+        model, local = Model(Vocabulary(None, vocab_bits), classes, alpha), vocab_bits - SHARD_BITS
+
+        def unigrams(batches):
+            hasher = Hasher()
+            for batch in parts(batches, 0):
+                word, _ = words_in(batch.column(0), vocabulary.value, hasher)
+                keys, counts = np.unique(word, return_counts=True)
+                yield pack(keys, counts, local)
 
-    def added(group: pa.Table) -> pa.Table:
-        keys, counts = unpack(group)
-        shard = group["shard"][0].as_py()
-        dense = np.bincount(keys - (shard << local), weights=counts, minlength=1 << local).astype(np.int64)
-        return pa.table({"shard": pa.array([shard], pa.int32()), "dense": pa.array([dense.tobytes()], pa.binary())})
+        def added(group: pa.Table) -> pa.Table:
+            keys, counts = unpack(group)
+            shard = group["shard"][0].as_py()
+            dense = np.bincount(keys, weights=counts, minlength=1 << local).astype(np.int64)
+            return pa.table({"shard": pa.array([shard], pa.int32()), "dense": pa.array([dense.tobytes()], pa.binary())})
 
-    for row in texts.mapInArrow(unigrams, BLOCKS).groupBy("shard").applyInArrow(added, "shard int, dense binary").collect():
-        model.count[row.shard << local : (row.shard + 1) << local] = np.frombuffer(row.dense, np.int64)
+    vocabulary = sc.broadcast(model.vocabulary)
+    if vocab_bits is not None:
+        for row in texts.mapInArrow(unigrams, BLOCKS).groupBy("shard").applyInArrow(added, "shard int, dense binary").collect():
+            model.count[row.shard << local : (row.shard + 1) << local] = np.frombuffer(row.dense, np.int64)
     model.start()
     edge = classes
     for turn in range(rounds + 1):
-        shared = sc.broadcast(model.cls)  # a byte per word number, whatever the corpus
+        shared = sc.broadcast(model.cls)  # a byte per word number
         last = turn == rounds
 
         def around(batches):
             hasher, cls, total = Hasher(), shared.value, np.zeros((edge + 1) ** 2, np.int64)
             for batch in parts(batches, 0):
-                word, bounds = words_in(batch.column(0), vocab_bits, hasher)
+                word, bounds = words_in(batch.column(0), vocabulary.value, hasher)
                 own, left, right = neighbours(word, bounds, cls, edge)
                 total += np.bincount(left * (edge + 1) + own, minlength=len(total))
                 total += np.bincount((own * (edge + 1) + edge)[right == edge], minlength=len(total))
                 if not last:
-                    both = np.concatenate([word * 256 + left, word * 256 + 128 + right]).astype(np.uint32)
+                    both = np.concatenate([word * 256 + left, word * 256 + 128 + right])
                     keys, counts = np.unique(both, return_counts=True)
-                    yield pack(keys.astype(np.int64), counts, local + 8)
+                    yield pack(keys, counts, local + 8)
             yield pack(np.zeros(0, np.int64), np.zeros(0), 0, [(-1, total.tobytes(), b"")])
 
         def summed(group: pa.Table) -> pa.Table:
@@ -186,7 +262,6 @@ def train(
             shard = group["shard"][0].as_py()
             keys, counts = unpack(group)
             cls = shared.value[shard << local : (shard + 1) << local].astype(np.int64)
-            keys = keys - ((shard << local) << 8)
             dense = np.bincount(keys, weights=counts, minlength=len(cls) << 8).reshape(len(cls), 2, 128)
             seen = np.flatnonzero(dense.sum((1, 2)))
             new = cls.copy()
@@ -210,14 +285,14 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "
     perplexity. Rows that repeat give equal rows; other columns are ignored.
     """
     sc = docs.sparkSession.sparkContext
-    tables = sc.broadcast((model.cls, model.emissions(), model.transitions()))  # bounded by vocab_bits
-    bits, edge = model.bits, model.classes
+    tables = sc.broadcast((model.vocabulary, model.cls, model.emissions(), model.transitions()))
+    edge = model.classes
 
     def likelihood(batches):
         hasher = Hasher()
-        cls, emit, step = tables.value
+        vocabulary, cls, emit, step = tables.value
         for batch in parts(batches, 1):
-            word, bounds = words_in(batch.column(1), bits, hasher)
+            word, bounds = words_in(batch.column(1), vocabulary, hasher)
             own, left, right = neighbours(word, bounds, cls, edge)
             value = step[left, own] + emit[word] + np.where(right == edge, step[own, edge], 0)
             sums = np.concatenate([[0.0], np.cumsum(value, dtype=np.float64)])
