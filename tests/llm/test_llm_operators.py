@@ -251,6 +251,12 @@ def test_components_of_a_chain(spark):
     assert all(got.get(i, i) == 0 for i in range(41)) and got[101] == 100
 
 
+def test_components_that_do_not_converge_are_an_error(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        ngram_join.components(edges, max_rounds=2)
+
+
 # ---- quality
 
 

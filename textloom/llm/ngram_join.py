@@ -454,7 +454,8 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, root): the least node of the connected component of each node of (a, b).
 
     Alternates large-star and small-star steps, each a shuffle of the remaining edges, until they no
-    longer change; the number of rounds grows with the logarithm of a component's size.
+    longer change; the number of rounds grows with the logarithm of a component's size. If they still
+    change after ``max_rounds``, that is an error.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     state = None
@@ -471,6 +472,8 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         if new == state:
             break
         state = new
+    else:
+        raise RuntimeError(f"components still change after {max_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
