@@ -10,11 +10,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import langid, line_dedup, ngram_join, packing, quality
-from textloom.llm.common import shared_folder, table
+from textloom.llm.common import cut, fresh, row_key, shared_folder, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +40,20 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join (7): one document of each group of near duplicates stays."""
-    return ngram_join.near_duplicates_removed(docs)
+    """N-gram Jaccard join (7): one document of each group of near duplicates stays.
+
+    Rows that repeat both id and text are one document to the join: one of them stays, that of the least
+    hash of all columns. Rows without text are left as they are.
+    """
+    rest = ngram_join.near_duplicates_removed(docs)
+    key, nth = fresh(docs, "key", "nth")
+    rest = rest.withColumn(key, row_key("doc_id", "text"))
+    twice = cut(rest.where("text is not null").groupBy(key).count().where("count > 1").select(key))
+    again = rest.where("text is not null").join(twice, key, "left_semi")
+    order = Window.partitionBy(key).orderBy(F.xxhash64(*docs.columns))
+    first = again.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1)
+    single = rest.join(twice, key, "left_anti")
+    return single.unionByName(first.drop(nth)).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

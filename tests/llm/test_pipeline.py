@@ -25,3 +25,11 @@ def test_pipeline_and_stages(spark, tmp_path):
     assert docs.agg(F.sum("length")).first()[0] == words
     whole = cp.run(spark, SF)
     assert whole.exceptAll(docs).count() == 0 and docs.exceptAll(whole).count() == 0
+
+
+def test_repeated_rows_stay_once(spark):
+    rows = [(1, "a b c d e"), (1, "a b c d e"), (2, "f g h i"), (3, None), (3, None), (4, "a b c d e")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = cp.without_near_duplicates(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert sorted(r.doc_id for r in out.collect()) == [1, 2, 3, 3]
