@@ -171,59 +171,74 @@ def near_corpus(seed, n=60):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("hot,threshold", [(32, 0.5), (1, 0.5), (2, 0.8), (3, 1.0)])
-def test_ngram_join(spark, hot, threshold):
+def links_by_hand(sets, threshold=0.5):
+    """{(i, j): similarity} of all documents with words, i < j."""
+    ids = sorted(sets)
+    pairs = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for k, i in enumerate(ids) for j in ids[k + 1 :]}
+    return {p: v for p, v in pairs.items() if v >= threshold}
+
+
+def classes_by_hand(ids, pairs):
+    least = {i: i for i in ids}
+    changed = True
+    while changed:
+        changed = False
+        for i, j in pairs:
+            low = min(least[i], least[j])
+            changed |= least[i] != low or least[j] != low
+            least[i] = least[j] = low
+    links = Counter(x for p in pairs for x in p)
+    return {i: (least[i], links[i]) for i in ids}
+
+
+@pytest.mark.parametrize("hot,threshold,block", [(32, 0.5, 1 << 11), (1, 0.5, 5), (2, 0.8, 1 << 11), (3, 1.0, 3)])
+def test_ngram_join(spark, monkeypatch, hot, threshold, block):
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", block)
+    monkeypatch.setattr(ngram_join, "COLUMNS", 64)
     rows = near_corpus(5)
+    rows += [(1000 + i, t) for i, t in rows[::3]] + [(2000 + i, t) for i, t in rows[::9]]
     sets = sets_by_hand(rows)
+    pairs = links_by_hand(sets, threshold)
+    docs = docs_of(spark, rows).repartition(3)
+    got = ngram_join.ngram_jaccard_join(docs, threshold=threshold, hot=hot).collect()
+    assert len(got) == len(rows)
+    assert {r.doc_id: (r.class_id, r.links) for r in got} == classes_by_hand(sets, pairs)
     least = {}
     for i in sorted(sets):
         least.setdefault(sets[i], i)
-    want = {(least[s], i): 1.0 for i, s in sets.items() if least[s] != i}
-    heads = sorted(least.items(), key=lambda x: x[1])
-    for k, (a, i) in enumerate(heads):
-        for b, j in heads[k + 1 :]:
-            if len(a & b) / len(a | b) >= threshold:
-                want[i, j] = len(a & b) / len(a | b)
-    got = ngram_join.ngram_jaccard_join(docs_of(spark, rows), threshold=threshold, hot=hot).collect()
+    heads = set(least.values())
+    want = {p: v for p, v in pairs.items() if heads.issuperset(p)} | {(least[s], i): 1.0 for i, s in sets.items() if least[s] != i}
+    got = ngram_join.ngram_jaccard_pairs(docs, threshold=threshold, hot=hot).collect()
     assert len(got) == len(want)
     assert {(r.doc_id_a, r.doc_id_b): pytest.approx(r.jaccard) for r in got} == want
 
 
 def test_ngram_join_cases(spark):
-    rows = ODD + [(8, "ONE!"), (10, "é è"), (11, "É È")]
-    got = ngram_join.ngram_jaccard_join(docs_of(spark, rows)).collect()
-    pairs = {(r.doc_id_a, r.doc_id_b): r.jaccard for r in got}
-    assert set(pairs) == {(4, 5), (4, 8), (6, 7), (10, 11)} and len(got) == 4
+    rows = ODD + [(8, "ONE!"), (10, "é è"), (11, "É È"), (None, "é È")]
+    docs = docs_of(spark, rows).withColumn("class_id", F.lit("x")).withColumn("links", F.lit("y"))
+    got = ngram_join.ngram_jaccard_join(docs).collect()
+    assert Counter((r.doc_id, r.class_id, r.links) for r in got) == Counter(
+        [(None, None, 0), (None, None, 0), (1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 2), (5, 4, 2), (8, 4, 2), (6, 6, 1), (7, 6, 1),
+         (10, 10, 2), (11, 10, 2), (None, 10, 2)])
+    pairs = {(r.doc_id_a, r.doc_id_b): r.jaccard for r in ngram_join.ngram_jaccard_pairs(docs).collect()}
+    assert set(pairs) == {(4, 5), (4, 8), (6, 7), (10, 11), (10, None)}
     assert pairs[6, 7] == pytest.approx(29_998 / 29_999)
-    assert ngram_join.ngram_jaccard_join(docs_of(spark, rows).limit(0)).count() == 0
+    assert ngram_join.ngram_jaccard_join(docs.limit(0)).count() == 0 and ngram_join.ngram_jaccard_pairs(docs.limit(0)).count() == 0
     kept = ngram_join.near_duplicates_removed(docs_of(spark, rows))
     assert kept.columns == ["doc_id", "text", "key", "hash", "a.b"]
     ids = sorted(str(r.doc_id) for r in kept.collect())
-    assert ids.count("4") == 2 and len(ids) == len(rows) - 4
-
-
-@pytest.mark.parametrize("run", [2, 1 << 10])
-def test_ngram_join_gives_all_pairs(spark, monkeypatch, run):
-    monkeypatch.setattr(ngram_join, "RUN", run)
-    rows = near_corpus(5)
-    rows += [(1000 + i, t) for i, t in rows[::3]] + [(2000 + i, t) for i, t in rows[::9]]
-    sets = sorted(sets_by_hand(rows).items())
-    want = {}
-    for k, (i, s) in enumerate(sets):
-        for j, t in sets[k + 1 :]:
-            if len(s & t) >= 0.5 * len(s | t):
-                want[i, j] = len(s & t) / len(s | t)
-    got = ngram_join.ngram_all_pairs(docs_of(spark, rows)).collect()
-    assert len(got) == len(want)
-    assert {(r.doc_id_a, r.doc_id_b): pytest.approx(r.jaccard) for r in got} == want
-
+    assert ids.count("4") == 2 and ids.count("10") == 1 and len(ids) == len(rows) - 5
 
-def test_op7_returns_pairs_of_copies_too(spark, tmp_path):
-    docs_of(spark, [(1, "a b c d"), (2, "a b c d"), (3, "a b c d")]).write.parquet(f"{tmp_path}/documents.parquet")
-    from textloom.llm.queries import op7_ngram_jaccard_join
 
-    got = {(r.doc_id_a, r.doc_id_b) for r in op7_ngram_jaccard_join(spark, str(tmp_path)).collect()}
-    assert got == {(1, 2), (1, 3), (2, 3)}
+def test_ngram_join_of_one_large_group(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 100)
+    rng = random.Random(1)
+    base = [f"b{i}" for i in range(80)]
+    rows = [(i, " ".join(f"e{rng.randint(0, 10**6)}" if rng.random() < 0.05 else w for w in base)) for i in range(500)]
+    sets = sets_by_hand(rows)
+    want = classes_by_hand(sets, links_by_hand(sets))
+    got = {r.doc_id: (r.class_id, r.links) for r in ngram_join.ngram_jaccard_join(docs_of(spark, rows)).collect()}
+    assert got == want and max(n for _, n in want.values()) > 300
 
 
 def test_near_duplicates_one_of_each_group(spark):
@@ -242,19 +257,22 @@ def test_near_duplicates_one_of_each_group(spark):
             if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.5:
                 root[find(i)] = find(j)
     kept = [r.doc_id for r in ngram_join.near_duplicates_removed(docs_of(spark, rows)).collect()]
-    assert Counter(find(i) for i in kept) == Counter({find(i): 1 for i in sets})
+    assert sorted(kept) == sorted({find(i): i for i in sorted(sets, reverse=True)}.values())
 
 
-def test_components_of_a_chain(spark):
+@pytest.mark.parametrize("local", [0, 1 << 20])
+def test_components_of_a_chain(spark, monkeypatch, local):
+    monkeypatch.setattr(ngram_join, "LOCAL_EDGES", local)
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in ngram_join.components(edges).collect()}
     assert all(got.get(i, i) == 0 for i in range(41)) and got[101] == 100
 
 
-def test_components_that_do_not_converge_are_an_error(spark):
+def test_components_that_do_not_converge_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LOCAL_EDGES", 0)
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
     with pytest.raises(RuntimeError):
-        ngram_join.components(edges, max_rounds=2)
+        ngram_join.components(edges, max_rounds=1)
 
 
 # ---- quality

@@ -48,7 +48,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY)
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_all_pairs(table(spark, sf_dir, "documents"))
+    return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,21 +96,23 @@ SQL = {
         SELECT d.doc_id, coalesce(k.text, '') AS text, d.lang, d.source, d.n_chars, k.removed_lines
         FROM documents d JOIN kept k ON d.doc_id = k.doc_id""",
     "op7_ngram_jaccard_join": r"""
-        WITH w AS (
+        WITH RECURSIVE w AS (
           SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS words FROM documents),
         g AS (
           SELECT doc_id, list_sort(list_distinct(CASE WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
             ELSE list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i : i + 2], ' ')) END)) AS grams
           FROM w WHERE len(words) > 0),
-        least AS (SELECT grams, min(doc_id) AS doc_id, len(grams) AS n FROM g GROUP BY grams),
-        gram AS (SELECT doc_id, n, unnest(grams) AS gram FROM least),
-        near AS (
-          SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b, count(*) / (a.n + b.n - count(*)) AS jaccard
-          FROM gram a JOIN gram b ON a.gram = b.gram AND a.doc_id < b.doc_id
-          GROUP BY a.doc_id, b.doc_id, a.n, b.n)
-        SELECT doc_id_a, doc_id_b, jaccard FROM near WHERE jaccard >= 0.5
-        UNION ALL
-        SELECT l.doc_id, g.doc_id, 1.0 FROM g JOIN least l ON g.grams = l.grams WHERE g.doc_id <> l.doc_id""",
+        gram AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM g),
+        link AS (
+          SELECT a.doc_id AS a, b.doc_id AS b
+          FROM gram a JOIN gram b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+          GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*) / (a.n + b.n - count(*)) >= 0.5),
+        reach AS (
+          SELECT a, a AS b FROM link UNION
+          SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+        SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id, coalesce(k.links, 0) AS links
+        FROM documents d LEFT JOIN (SELECT a, min(b) AS class_id FROM reach GROUP BY a) c ON d.doc_id = c.a
+        LEFT JOIN (SELECT a, count(*) AS links FROM link GROUP BY a) k ON d.doc_id = k.a""",
     "op10_embedding_near_dedup": """
         SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b,
                round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine
