@@ -13,6 +13,7 @@ from textloom.llm import (
     bpe,
     chat_template,
     class_lm,
+    classes,
     embed_dedup,
     exact_dedup,
     langid,
@@ -262,17 +263,17 @@ def test_near_duplicates_one_of_each_group(spark):
 
 @pytest.mark.parametrize("local", [0, 1 << 20])
 def test_components_of_a_chain(spark, monkeypatch, local):
-    monkeypatch.setattr(ngram_join, "LOCAL_EDGES", local)
+    monkeypatch.setattr(classes, "LOCAL_EDGES", local)
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
-    got = {r.node: r.root for r in ngram_join.components(edges).collect()}
+    got = {r.node: r.root for r in classes.components(edges).collect()}
     assert all(got.get(i, i) == 0 for i in range(41)) and got[101] == 100
 
 
 def test_components_that_do_not_converge_are_an_error(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "LOCAL_EDGES", 0)
+    monkeypatch.setattr(classes, "LOCAL_EDGES", 0)
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
     with pytest.raises(RuntimeError):
-        ngram_join.components(edges, max_rounds=1)
+        classes.components(edges, max_rounds=1)
 
 
 # ---- quality
@@ -478,24 +479,52 @@ def test_class_lm_learns_and_handles_wordless_texts(spark):
 # ---- embeddings
 
 
-def test_embedding_near_duplicates(spark):
+@pytest.mark.parametrize("block,step", [(1 << 10, 64), (4, 2)])
+def test_embedding_near_duplicates(spark, monkeypatch, block, step):
+    monkeypatch.setattr(embed_dedup, "BLOCK", block)
+    monkeypatch.setattr(embed_dedup, "STEP_ROWS", step)
+    monkeypatch.setattr(embed_dedup, "GROUP_ROWS", 50)
     rng = np.random.default_rng(5)
     base = rng.normal(size=(150, 24))
-    vectors = np.concatenate([base, base[:60] + 0.1 * rng.normal(size=(60, 24)), base[:20] * 3])
+    vectors = np.concatenate([base, base[:60] + 0.03 * rng.normal(size=(60, 24)), base[:20], base[:1] + 0.02 * rng.normal(size=(40, 24))])
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
-    extra = [(1000, None), (1001, []), (1002, [0.0] * 24), (1003, [float("nan")] * 24), (1004, [None] * 24), (None, rows[0][1]), rows[3], (1005, rows[3][1][:10])]
-    df = spark.createDataFrame(rows + extra, "vec_id long, embedding array<float>")
-    out = embed_dedup.embedding_near_duplicates(df)
-    got = {(r.vec_id_a, r.vec_id_b): r.cosine for r in out.collect()}
+    odd = [(1000, None), (1001, []), (1002, [0.0] * 24), (1003, [float("nan")] * 24), (1004, [None] * 24)]
+    extra = [(None, rows[0][1]), rows[3], (1005, rows[3][1][:10])]
+    df = spark.createDataFrame(rows + odd + extra, "vec_id long, embedding array<float>")
+    df = df.select(*[F.col(c) for c in df.columns], F.lit(1).alias("sig"), F.lit("x").alias("v"), F.lit(2).alias("class_id"), F.lit(0).alias("a.b"))
+    got = embed_dedup.embedding_near_duplicates(df, recall=0.99999).collect()
     unit = vectors.astype(np.float32).astype(float)
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    unit = np.concatenate([unit, unit[:1]])
     g = unit @ unit.T
-    want = {(i, j): g[i, j] for i in range(len(g)) for j in range(i + 1, len(g)) if g[i, j] >= 0.95}
-    assert len(got) == out.count() and set(got) <= set(want) and len(got) >= 0.9 * len(want) and len(want) > 50
-    assert all(abs(got[p] - want[p]) < 1e-5 for p in got)
+    pairs = [(i, j) for i in range(len(g)) for j in range(i + 1, len(g)) if g[i, j] >= 0.95]
+    want = classes_by_hand(range(len(g)), pairs)
+    null = want.pop(len(vectors))
+    want |= {i: (i, 0) for i, _ in odd} | {1005: (1005, 0), None: null}
+    assert len(got) == len(want) and {r.vec_id: (r.class_id, r.links) for r in got} == want
     assert embed_dedup.embedding_near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_recall_at_the_threshold(spark):
+    rng = np.random.default_rng(6)
+    a = rng.normal(size=(400, 32))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    side = rng.normal(size=a.shape)
+    side -= (side * a).sum(1, keepdims=True) * a
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    b = 0.951 * a + math.sqrt(1 - 0.951**2) * side
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([a, b]))], "vec_id long, embedding array<double>")
+    got = embed_dedup.embedding_near_duplicates(df).where("links > 0").count()
+    assert got >= 0.93 * 800
+
+
+def test_equal_vectors_are_one(spark):
+    df = spark.range(3000).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
+    df = df.unionByName(spark.createDataFrame([(5000, [2.0, 4.0]), (5001, [-1.0, 0.0])], df.schema))
+    got = {r.vec_id: (r.class_id, r.links) for r in embed_dedup.embedding_near_duplicates(df).collect()}
+    assert got == {i: (0, 3000) for i in [*range(3000), 5000]} | {5001: (5001, 0)}
+
+
 # ---- BPE
 
 

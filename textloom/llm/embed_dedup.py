@@ -1,11 +1,16 @@
 """Near duplicates among embeddings by Euclidean p-stable hashing.
 
-Vectors are scaled to length 1. A table draws ``k`` Gaussian directions and shifts and quantises the
-projections, floor((a . v + b) / width); vectors that agree on all k share a bucket. Every vector is a
-query: pairs that share a bucket in any table are compared by exact cosine. k grows with the logarithm of
-the number of vectors, so that unrelated pairs in a bucket stay a constant number per vector, and the
-number of tables follows from k and the recall wanted at the threshold itself; closer pairs are found
-more surely.
+Vectors are scaled to length 1, and equal ones are one. A table draws ``k`` Gaussian directions and shifts and
+quantises the projections, floor((a . v + b) / width); vectors that agree on all k share a bucket. Every vector
+is a query: those that share a bucket in any table are compared by exact cosine. k grows with the logarithm
+of the number of vectors, so that a bucket holds at most ``crowd`` unrelated ones per vector, and the number of
+tables follows from k and the recall wanted at the threshold itself; closer pairs are found more surely.
+
+Only vectors that share a bucket travel. Buckets go to groups of bounded size, many small ones to a group;
+a larger one is cut into blocks, and every pair of blocks is a group member of its own. A group gives a
+row per vector, not per pair: how many it is linked to and the least one that it reaches. A pair that
+meets in several tables counts in the first of them: its other buckets are worked out again from the vectors,
+whose projections are sums of integers and therefore the same everywhere.
 """
 
 from __future__ import annotations
@@ -17,9 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.classes import classified
 from textloom.llm.common import cut, q
 
 UNRELATED = math.sqrt(2)  # distance of two random directions
+BLOCK = 1 << 10
+GROUP_ROWS = 1 << 14
+STEP_ROWS = 64
+GRID = float(1 << 20)
 
 
 def agreement(distance: float, width: float) -> float:
@@ -29,11 +39,126 @@ def agreement(distance: float, width: float) -> float:
     return 1 - 2 * normal - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
 
 
-def plan(rows: int, threshold: float, width: float, recall: float) -> tuple[int, int]:
+def plan(rows: int, threshold: float, width: float, recall: float, crowd: float) -> tuple[int, int]:
     """(k, tables) for that many vectors."""
-    k = max(2, math.ceil(math.log(max(rows, 2)) / -math.log(agreement(UNRELATED, width))))
+    k = max(2, math.ceil(math.log(max(rows / crowd, 2)) / -math.log(agreement(UNRELATED, width))))
     near = agreement(max(math.sqrt(2 - 2 * threshold), 1e-6), width) ** k
-    return k, max(1, math.ceil(math.log(1 - recall) / math.log(1 - near)))
+    return k, max(1, math.ceil(math.log(1 - recall) / math.log1p(-near)))
+
+
+class Tables:
+    """The random directions of all tables, by dimension."""
+
+    def __init__(self, k: int, tables: int, width: float, seed: int) -> None:
+        self.k, self.tables, self.width, self.seed, self.drawn = k, tables, width, seed, {}
+
+    def buckets(self, x: np.ndarray) -> np.ndarray:
+        """(rows, tables): the bucket of each row of vectors of one dimension in each table."""
+        dim = x.shape[1]
+        if dim not in self.drawn:
+            rng = np.random.default_rng([self.seed, dim])
+            self.drawn[dim] = np.rint(rng.normal(size=(dim, self.k * self.tables)) * GRID), rng.uniform(0, self.width, self.k * self.tables)
+        a, b = self.drawn[dim]
+        cell = np.floor((np.rint(x * GRID) @ a / GRID**2 + b) / self.width).astype(np.int64)  # exact integers below 2**53
+        rng = np.random.default_rng([self.seed, dim, 1])
+        weight = rng.integers(1, 1 << 62, self.k * self.tables, dtype=np.int64) | 1
+        salt = rng.integers(1, 1 << 62, self.tables, dtype=np.int64)
+        return (cell * weight).reshape(len(x), self.tables, self.k).sum(2) + salt
+
+
+def matrices(lists: pa.Array):
+    """(rows, matrix) of the vectors of each dimension."""
+    flat, length = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
+    ends = np.cumsum(length)
+    for dim in np.unique(length):
+        at = np.flatnonzero(length == dim)
+        yield at, flat[(ends[at] - dim)[:, None] + np.arange(dim)[None]]
+
+
+def candidates(bucket: np.ndarray, side: np.ndarray, x: np.ndarray, threshold: float):
+    """(a, b) of rows, sorted by bucket, that share one and have at least that cosine; in different sides of a pair of blocks."""
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    size = np.diff(np.append(first, len(bucket)))
+    small = np.repeat(size <= STEP_ROWS, size)
+    at, step = np.flatnonzero(small), 1
+    while len(at):
+        at = at[at + step < len(bucket)]
+        at = at[bucket[at] == bucket[at + step]]
+        cosine = np.einsum("ij,ij->i", x[at], x[at + step])
+        some = at[(cosine >= threshold) & ((side[at] != side[at + step]) | (side[at] < 0))]
+        yield some, some + step
+        step += 1
+    for a, n in zip(first[size > STEP_ROWS], size[size > STEP_ROWS]):
+        part, mine = x[a : a + n], side[a : a + n]
+        i, j = np.nonzero(np.triu((part @ part.T >= threshold) & ((mine[:, None] != mine[None]) | (mine < 0)), 1))
+        yield a + i, a + j
+
+
+def linked_vectors(sets: DataFrame, threshold: float, width: float, recall: float, crowd: float, seed: int) -> DataFrame:
+    """(sig, links, root) of sets (sig, copies, v): see :func:`textloom.llm.classes.classified`."""
+    k, tables = plan(sets.count(), threshold, width, recall, crowd)
+
+    def hashed(batches):
+        made = Tables(k, tables, width, seed)
+        for batch in batches:
+            for at, x in matrices(batch.column(1)):
+                found = made.buckets(x)
+                sig = np.repeat(batch.column(0).to_numpy()[at], tables)
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(found.ravel())], names=["sig", "bucket"])
+
+    buckets = cut(sets.select("sig", "v").mapInArrow(hashed, "sig long, bucket long"))
+    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    some = cut(buckets.join(shared, "bucket"))
+    wide = F.ceil(F.col("rows") / BLOCK).cast("int")
+    some = some.withColumn("k", wide).withColumn("part", F.pmod(F.xxhash64("sig"), F.col("k")).cast("int"))
+    some = some.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    # the bucket of a pair of blocks; within a block the side is -1: all pairs count
+    i, j = F.least("part", "y"), F.greatest("part", "y")
+    some = some.select("sig", "bucket", F.xxhash64("bucket", i, j).alias("spot"), F.when(i == j, F.lit(-1)).otherwise(F.col("part")).alias("side"))
+    groups = max(1, -(-some.count() // GROUP_ROWS))
+    rows = some.join(sets.select("sig", "copies", "v"), "sig").withColumn("group", F.pmod("spot", F.lit(groups)))
+    out = pa.schema([("sig", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+
+    def link(group: pa.Table) -> pa.Table:
+        made = Tables(k, tables, width, seed)
+        lists = group["v"].combine_chunks()
+        sig, spot, bucket, side, copies = (group[c].to_numpy() for c in ("sig", "spot", "bucket", "side", "copies"))
+        names, of = np.unique(sig, return_inverse=True)
+        links, least = np.zeros(len(names), np.int64), np.arange(len(names))
+        for rows, x in matrices(lists):
+            order = np.argsort(spot[rows], kind="stable")
+            rows, x = rows[order], x[order]
+            for a, b in candidates(spot[rows], side[rows], x, threshold):
+                if not len(a):
+                    continue
+                used, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+                cell = made.buckets(x[used])
+                p, r = place[: len(a)], place[len(a) :]
+                here = bucket[rows[a]]
+                one = np.zeros(len(a), bool)
+                for at in range(0, len(a), 1 << 16):  # in the first table in which it meets
+                    part = slice(at, at + (1 << 16))
+                    meet = cell[p[part]] == cell[r[part]]
+                    one[part] = cell[p[part], meet.argmax(1)] == here[part]
+                a, b = of[rows[a]], of[rows[b]]
+                links += np.bincount(a[one], weights=copies_of(names, sig, copies)[b[one]], minlength=len(names)).astype(np.int64)
+                links += np.bincount(b[one], weights=copies_of(names, sig, copies)[a[one]], minlength=len(names)).astype(np.int64)
+                while (least[a] != least[b]).any():
+                    low = np.minimum(least[a], least[b])
+                    np.minimum.at(least, least[a], low)
+                    np.minimum.at(least, least[b], low)
+                    while (least[least] != least).any():
+                        least = least[least]
+        some = np.flatnonzero((links > 0) | (least != np.arange(len(names))))
+        return pa.table([pa.array(names[some]), pa.array(links[some]), pa.array(names[least[some]])], schema=out)
+
+    def copies_of(names, sig, copies):
+        many = np.zeros(len(names), np.int64)
+        many[np.searchsorted(names, sig)] = copies
+        return many
+
+    rows = rows.select("group", "sig", "spot", "bucket", "side", "copies", "v")
+    return cut(rows.groupBy("group").applyInArrow(link, "sig long, links long, root long"))
 
 
 def embedding_near_duplicates(
@@ -41,81 +166,35 @@ def embedding_near_duplicates(
     id_col: str = "vec_id",
     vec_col: str = "embedding",
     threshold: float = 0.95,
-    width: float = 1.0,
+    width: float = 2.0,
     recall: float = 0.97,
+    crowd: float = 0.125,
     seed: int = 11,
 ) -> DataFrame:
-    """(<id>_a, <id>_b, cosine): pairs with at least that cosine, rounded to 6 digits, lesser id first.
+    """(<id>, class_id, links) of each row: the least id of its class, and the number of its partners.
 
-    Null vectors, those with null, NaN or infinite elements, and those of length 0 are in no pair; vectors
-    of different dimensions are never compared. Rows with a null id take no part. Equal rows count once;
-    an id with several vectors is paired with others by the greatest cosine, never with itself.
+    Partners are all other rows whose vectors have at least that cosine, equal vectors among them; a class is a
+    connected component of partners. Rows that repeat both id and vector are one row. Null vectors, those
+    with null, NaN or infinite elements, and those of length 0 have no partners; vectors of different
+    dimensions are never compared. Null ids come last in order. Other columns are ignored, whatever their
+    names; an empty table gives no rows. Pairs at the threshold itself are found with probability ``recall``,
+    closer ones more surely, equal ones always.
     """
     if not 0 < threshold < 1:
         raise ValueError("threshold must be between 0 and 1")
-    kind = vectors.schema[id_col].dataType
     v = F.col("v")
-    clean = (
-        vectors.select(F.col(q(id_col)).alias("id"), F.col(q(vec_col)).cast("array<double>").alias("v"))
-        .where(F.col("id").isNotNull() & v.isNotNull())
-        .where(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-        .withColumn("norm", F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)))
-        .where("norm > 0")
-        .select("id", F.transform(v, lambda x: x / F.col("norm")).alias("v"))
-        .dropDuplicates(["id", "v"])
-        .select("id", F.xxhash64("id", "v").alias("key"), F.size("v").alias("dim"), "v")
-    )
-    clean = cut(clean)
-    k, tables = plan(clean.count(), threshold, width, recall)
-
-    def hashed(batches):
-        drawn: dict = {}
-        weight = np.random.default_rng(seed).integers(1, 1 << 62, k, dtype=np.int64) | 1
-        for batch in batches:
-            dims = batch.column(1).to_numpy()
-            lists = batch.column(2)
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            ends = np.cumsum(dims)
-            for dim in np.unique(dims):
-                at = np.flatnonzero(dims == dim)
-                x = flat[(ends[at] - dim)[:, None] + np.arange(dim)[None]]
-                if dim not in drawn:
-                    rng = np.random.default_rng([seed, int(dim)])
-                    drawn[dim] = rng.normal(size=(dim, k * tables)), rng.uniform(0, width, k * tables)
-                a, b = drawn[dim]
-                cell = np.floor((x @ a + b) / width).astype(np.int64).reshape(len(at), tables, k)
-                bucket = (cell * weight).sum(2) ^ (np.int64(dim) << np.int64(40))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat(batch.column(0).to_numpy()[at], tables)),
-                        pa.array(np.tile(np.arange(tables, dtype=np.int32), len(at))),
-                        pa.array(bucket.ravel()),
-                    ],
-                    names=["key", "tab", "bucket"],
-                )
-
-    buckets = cut(clean.select("key", "dim", "v").mapInArrow(hashed, "key long, tab int, bucket long"))
-    shared = buckets.groupBy("tab", "bucket").count().where("count > 1").select("tab", "bucket")
-    some = buckets.join(shared, ["tab", "bucket"], "left_semi")
-    pairs = (
-        some.withColumnRenamed("key", "a")
-        .join(some.withColumnRenamed("key", "b"), ["tab", "bucket"])
-        .where("a < b")
-        .select("a", "b")
-        .distinct()
-    )
-    one = clean.select(F.col("key").alias("a"), F.col("id").alias("ia"), F.col("v").alias("va"))
-    two = clean.select(F.col("key").alias("b"), F.col("id").alias("ib"), F.col("v").alias("vb"))
-    cosine = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    near = (
-        pairs.join(one, "a")
-        .join(two, "b")
-        .where(F.size("va") == F.size("vb"))
-        .select(F.least("ia", "ib").alias("ia"), F.greatest("ia", "ib").alias("ib"), cosine.alias("cosine"))
-        .where((F.col("cosine") >= threshold) & (F.col("ia") != F.col("ib")))
-        .groupBy("ia", "ib")
-        .agg(F.max("cosine").alias("cosine"))
-    )
-    return near.select(
-        F.col("ia").cast(kind).alias(f"{id_col}_a"), F.col("ib").cast(kind).alias(f"{id_col}_b"), F.round("cosine", 6).alias("cosine")
+    fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    raw = vectors.select(F.col(q(id_col)).alias("id"), F.col(q(vec_col)).cast("array<double>").alias("v"))
+    raw = raw.withColumn("key", F.xxhash64("id", "v")).withColumn("norm", F.when(fine, norm)).dropDuplicates(["key"])
+    unit = F.when(F.col("norm") > 0, F.transform(v, lambda x: x / F.col("norm") + 0.0))
+    rows = raw.select("key", "id", unit.alias("v"))
+    members = cut(rows.withColumn("sig", F.when(F.col("v").isNotNull(), F.xxhash64(F.size("v"), "v"))))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    sets = members.where("sig is not null").groupBy("sig").agg(
+        F.count(F.lit(1)).alias("copies"), F.min(order).alias("least"), F.min("v").alias("v")
     )
+    sets = cut(sets)
+    links = linked_vectors(sets, threshold, width, recall, crowd, seed)
+    out = classified(members.select("sig", "key", "id"), sets.drop("v"), links)
+    return out.select(F.col("id").alias(id_col), "class_id", "links")

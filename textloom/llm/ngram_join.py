@@ -29,16 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.arrays import Hasher, mix, ranges, row_slices, word_hashes
+from textloom.llm.classes import classified, components
 from textloom.llm.common import cut, fresh, maybe_broadcast, q, row_key
 
 BROADCAST_BYTES = 64 << 20
-FRAGMENT_GRAMS = 6 << 20
+FRAGMENT_GRAMS = 4 << 20
 OVERLAP_GRAMS = 1 << 20
 BLOCK_SETS = 1 << 11
 BLOCK_GRAMS = 1 << 21
 COLUMNS = 1 << 10
-LOCAL_EDGES = 1 << 20
 BATCH = 1 << 15
+BATCH_BYTES = 12 << 20
 FLAG = np.uint16(1 << 15)
 LOW48 = np.uint64((1 << 48) - 1)
 
@@ -119,6 +120,13 @@ def local_groups(h: np.ndarray):
     return np.cumsum(new) - 1, at, np.diff(np.append(at, len(h)))
 
 
+def parts(whole: pa.RecordBatch, text: int):
+    """The batch in slices of some megabytes of text, and of rows whose places take 15 bits."""
+    for at, rows in row_slices(whole.column(text), BATCH_BYTES):
+        for first in range(at, at + rows, BATCH):
+            yield whole.slice(first, min(BATCH, at + rows - first))
+
+
 def counted(rows: DataFrame, n: int, fragments: int, bits: int) -> DataFrame:
     """First pass over (key, id, text): (sig, key, id, size, shared) of each row, with the number of its n-grams
     that occur in another set too. ``sig`` is null for texts without words."""
@@ -135,8 +143,7 @@ def counted(rows: DataFrame, n: int, fragments: int, bits: int) -> DataFrame:
         hasher = Hasher()
         number = TaskContext.get().partitionId() << 32
         for whole in batches:
-            for at in range(0, len(whole), BATCH):  # positions take 15 bits
-                batch = whole.slice(at, BATCH)
+            for batch in parts(whole, 2):
                 entries, sizes, sigs = [], [], []
                 for first, _, key, size in sliced_sets(batch.column(2), n, hasher):
                     sigs.append(signatures(key, size))
@@ -249,8 +256,7 @@ def overlapped(rows: DataFrame, n: int, fragments: int, hot: int, threshold: flo
     def emit(batches):
         hasher = Hasher()
         for whole in batches:
-            for at in range(0, len(whole), BATCH):
-                batch = whole.slice(at, BATCH)
+            for batch in parts(whole, 2):
                 owner = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)], 1)
                 entries = []
                 for first, _, key, _ in sliced_sets(batch.column(2), n, hasher):
@@ -474,13 +480,13 @@ def ngram_sets_join(
     texts = keyed.join(maybe_broadcast(alive.select("sig", "size", "alive_key"), many, 64, BROADCAST_BYTES), F.col("key") == F.col("alive_key"))
     texts = texts.select("sig", "size", "text")
     # a pair has a row for each fragment that its n-grams fall into: no more fragments than memory asks for
-    parts = cut(overlapped(texts, n, max(cores, -(-grams // OVERLAP_GRAMS)), hot, threshold))
-    frequent = parts.where("kind = 1").groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("grams"))).alias("grams"))
+    made = cut(overlapped(texts, n, max(cores, -(-grams // OVERLAP_GRAMS)), hot, threshold))
+    frequent = made.where("kind = 1").groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("grams"))).alias("grams"))
     held = cut(alive.join(frequent.withColumnRenamed("a", "sig"), "sig", "left").select("sig", "size", "copies", "grams"))
     number = F.coalesce(F.size("grams"), F.lit(0))
     number = F.when(F.col("grams").isNull(), 0).otherwise(number)
     sizes = maybe_broadcast(held.select("sig", "size", number.alias("hots")), many, 48, BROADCAST_BYTES)
-    pairs = parts.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    pairs = made.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"))
     for end in ("a", "b"):
         pairs = pairs.join(sizes.select(F.col("sig").alias(end), F.col("size").alias(f"{end}n"), F.col("hots").alias(f"{end}h")), end)
     reach = (F.col("an") + F.col("bn")) * (threshold / (1 + threshold)) - 1e-9
@@ -489,7 +495,7 @@ def ngram_sets_join(
     need = F.ceil(F.col("size") * threshold - 1e-9).cast("int")
     alone = held.where(F.col("grams").isNotNull() & (number >= need))
     each = alone.select("sig", (number - need + 1).alias("first"), F.explode("grams").alias("gram"))
-    each = each.join(parts.where("kind = 2").select(F.col("a").alias("gram"), F.col("n").alias("sets")), "gram")
+    each = each.join(made.where("kind = 2").select(F.col("a").alias("gram"), F.col("n").alias("sets")), "gram")
     each = each.groupBy("sig", "first").agg(F.sort_array(F.collect_list(F.struct("sets", "gram"))).alias("all"))
     each = cut(each.select("sig", F.explode(F.expr("slice(all, 1, first)")).alias("x")).select("sig", F.col("x.gram").alias("gram")))
     star = each.join(each.groupBy("gram").agg(F.min("sig").alias("root")), "gram").where("sig <> root").select("sig", "root").distinct()
@@ -502,21 +508,7 @@ def ngram_sets_join(
 
 def ngram_classes(docs: DataFrame, text_col: str, id_col: str, n: int, threshold: float, hot: int) -> DataFrame:
     """(key, id, class_id, class_key, links) of each document: see :func:`ngram_jaccard_join`."""
-    members, sets, links = ngram_sets_join(docs, text_col, id_col, n, threshold, hot)
-    roots = components(links.select(F.col("sig").alias("a"), F.col("root").alias("b")))
-    total = links.groupBy("sig").agg(F.sum("links").alias("others"))
-    named = sets.join(roots.toDF("node", "root"), F.col("sig") == F.col("node"), "left").join(total, "sig", "left")
-    named = named.select(
-        "sig", F.coalesce("root", "sig").alias("root"), "least", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links")
-    )
-    head = named.groupBy("root").agg(F.min("least").alias("head"))
-    named = named.join(head, "root").select(F.col("sig").alias("named_sig"), "head", "links")
-    every = members.join(named, F.col("sig") == F.col("named_sig"), "left")
-    none = F.col("head").isNull()
-    return every.select(
-        "key", "id", F.when(none, F.col("id")).otherwise(F.col("head.id")).alias("class_id"),
-        F.when(none, F.col("key")).otherwise(F.col("head.key")).alias("class_key"), F.coalesce("links", F.lit(0)).cast("long").alias("links"),
-    )
+    return classified(*ngram_sets_join(docs, text_col, id_col, n, threshold, hot))
 
 
 def ngram_jaccard_join(
@@ -557,49 +549,6 @@ def ngram_jaccard_pairs(
     return star.unionByName(near)
 
 
-def stars(batches):
-    """(node, root) of all edges (u, v) of a task."""
-    pairs = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], 1) for b in batches]
-    name, at = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *pairs]).ravel(), return_inverse=True)
-    u, v = at.reshape(-1, 2).T
-    root = np.arange(len(name))
-    while (root[u] != root[v]).any():
-        low = np.minimum(root[u], root[v])
-        np.minimum.at(root, root[u], low)
-        np.minimum.at(root, root[v], low)
-        while (root[root] != root).any():
-            root = root[root]
-    some = np.flatnonzero(root != np.arange(len(name)))
-    yield pa.RecordBatch.from_arrays([pa.array(name[some]), pa.array(name[root[some]])], names=["node", "root"])
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root): the least node of the connected component of each node of (a, b) but the roots.
-
-    Alternates large-star and small-star steps, each a shuffle of the remaining edges, until every node
-    points to a root; the number of rounds grows with the logarithm of a component's size. A node's least
-    neighbour is joined back to its edges, so no node's neighbours are collected. If some node does not point to a
-    root after ``max_rounds``, that is an error. Up to ``LOCAL_EDGES`` distinct edges, 16 bytes each, go to one task
-    instead, which repeats the same two steps in memory.
-    """
-    now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    if now.count() <= LOCAL_EDGES:
-        return now.coalesce(1).mapInArrow(stars, "node bigint, root bigint")
-    for _ in range(max_rounds):
-        deeper = now.join(now.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1)
-        twice = now.groupBy("u").count().where("count > 1").limit(1)
-        if deeper.isEmpty() and twice.isEmpty():
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        both = now.union(now.select(F.col("v"), F.col("u")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("m", "u").alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut(large.where("u <> v").distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
-        small = large.join(least, F.col("u") == F.col("w")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.union(least).distinct())
-    raise RuntimeError(f"components still change after {max_rounds} rounds")
-
-
 def near_duplicates_removed(
     docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int = 3, threshold: float = 0.5, hot: int = 32
 ) -> DataFrame:

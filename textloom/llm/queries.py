@@ -60,12 +60,17 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def embedding_classes_lower_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op10, at a cosine that pairs in the small tables reach, with small k and so few tables for a high recall."""
+    return embed_dedup.embedding_near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.4, recall=0.99999, crowd=64)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
     own = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
     order = sorted(own, key=lambda k: int(k[2:].split("_")[0]))
-    return {k: own[k] for k in order} | {"pipeline": corpus_pipeline.run}
+    return {k: own[k] for k in order} | {"embedding_classes_lower_cosine": embedding_classes_lower_cosine} | {"pipeline": corpus_pipeline.run}
 
 
 SQL = {
@@ -113,11 +118,6 @@ SQL = {
         SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id, coalesce(k.links, 0) AS links
         FROM documents d LEFT JOIN (SELECT a, min(b) AS class_id FROM reach GROUP BY a) c ON d.doc_id = c.a
         LEFT JOIN (SELECT a, count(*) AS links FROM link GROUP BY a) k ON d.doc_id = k.a""",
-    "op10_embedding_near_dedup": """
-        SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b,
-               round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine
-        FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
-        WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.95""",
     "op3_chat_format": """
         WITH piece AS (
           SELECT conv_id, turn, role, '<|im_start|>' || role || chr(10) AS head, text || '<|im_end|>' AS body
@@ -139,6 +139,20 @@ SQL = {
 }
 
 
+EMBEDDING_CLASSES = """
+        WITH RECURSIVE link AS (
+          SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
+          WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= {}),
+        reach AS (
+          SELECT a, a AS b FROM link UNION
+          SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+        SELECT e.vec_id, coalesce(c.class_id, e.vec_id) AS class_id, coalesce(k.links, 0) AS links
+        FROM embeddings e LEFT JOIN (SELECT a, min(b) AS class_id FROM reach GROUP BY a) c ON e.vec_id = c.a
+        LEFT JOIN (SELECT a, count(*) AS links FROM link GROUP BY a) k ON e.vec_id = k.a"""
+SQL["op10_embedding_near_dedup"] = EMBEDDING_CLASSES.format(0.95)
+SQL["embedding_classes_lower_cosine"] = EMBEDDING_CLASSES.format(0.4)
+
+
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
