@@ -3,25 +3,27 @@
 Every window of ``min_lines`` consecutive non-blank lines selects its least line hash (the rightmost on
 ties) as fingerprint, so any run of at least that many lines that occurs twice has the same fingerprint
 in both places. Neighbouring windows that select the same line share one fingerprint position, and only
-these positions shuffle, each with the lines around it that its windows reach. Positions are joined by
-fingerprint; each match is extended to the left and to the right through the windows around the
-fingerprint, and from one fingerprint to the next, so it reaches its full length in time linear in the
-number of lines, even for lines that occur in most documents. Of the places where a run occurs the first
-in (id, row, line) order stays and the lines of later ones are deleted. A line of ``min_words`` words or
-more is a run of its own.
+these positions travel, each with the lines around it that its windows reach. The first position, in (id, row,
+line) order, of each fingerprint and window is found by an aggregate that combines before it shuffles; all positions
+are joined with it, and a later one matches. A match is extended to the left and to the right, through the windows
+around the fingerprint and from one fingerprint to the next, so it reaches its full length in time linear
+in the number of lines, even for lines that occur in most documents, and its lines are deleted. A line of
+``min_words`` words or more is a run of its own. Texts shuffle only if the list of deleted lines is too large to be
+broadcast.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.llm.arrays import Hasher, mix, ranges, row_slices, text_bytes
-from textloom.llm.common import fresh, q, row_key
+from textloom.llm.common import cut, fresh, maybe_broadcast, q, row_key
 
+BROADCAST_BYTES = 64 << 20
 SLICE_BYTES = 1 << 22
 PIECE_BYTES = 1 << 19
 
@@ -111,19 +113,15 @@ def repeated_lines(docs: DataFrame, text_col: str, id_col: str, min_lines: int,
     staged = docs.where(F.col(q(text_col)).isNotNull()).select(
         row_key(id_col, text_col).alias("key"), F.col(q(id_col)).alias("id"), F.col(q(text_col)).alias("text")
     )
-    joined = staged.mapInArrow(emit, schema).repartition("fp")
-    rows = joined.select("fp", "key", "id", "places", F.posexplode("windows").alias("i", "win")).select(
-        "fp", "key", "id", "win", F.expr("slice(places, i + 1, if(size(places) > 1, int({}), 1))".format(w)).alias("pos")
-    )
-    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("key"), F.col("pos")[0])
-    later = F.dense_rank().over(Window.partitionBy("fp", "win").orderBy(order)) > 1
-    return (
-        rows.withColumn("later", later)
-        .where("later")
-        .select("key", F.explode("pos").alias("pos"))
-        .groupBy("key")
-        .agg(F.collect_set("pos").alias("lines"))
+    found = cut(staged.mapInArrow(emit, schema))
+    rows = found.select("fp", "key", "id", "places", F.posexplode("windows").alias("i", "win")).select(
+        "fp", "win", "key", F.expr("slice(places, i + 1, if(size(places) > 1, int({}), 1))".format(w)).alias("pos"),
+        F.struct(F.col("id").isNull().alias("none"), "id", "key", F.col("places")[F.col("i")].alias("line")).alias("spot"),
     )
+    first = rows.groupBy("fp", "win").agg(F.min("spot").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = cut(first.drop("n"))
+    match = rows.join(maybe_broadcast(first, first.count(), 96, BROADCAST_BYTES), ["fp", "win"]).where(~F.col("spot").eqNullSafe(F.col("first")))
+    return match.select("key", F.explode("pos").alias("pos")).groupBy("key").agg(F.collect_set("pos").alias("lines"))
 
 
 def line_dedup(
@@ -147,6 +145,9 @@ def line_dedup(
     gone = repeated_lines(docs, text_col, id_col, min_lines, min_words).select(
         F.col("key").alias(f"{key}r"), F.col("lines").alias(lines)
     )
+    gone = cut(gone)
+    rows, size = gone.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(lines)), F.lit(0))).first()
+    gone = maybe_broadcast(gone, rows + size // 16, 64, BROADCAST_BYTES)
     joined = docs.withColumn(key, row_key(id_col, text_col)).join(gone, F.col(key) == F.col(f"{key}r"), "left")
     # The text is split once, inside a one-element array, not once for each line that is kept.
     kept = F.expr(
