@@ -1,10 +1,10 @@
 """Byte-level BPE by replaying merges over the words of a corpus part.
 
-Texts are cut into words as the public byte-level vocabularies expect. The distinct words of a batch lie
-in one flat array of symbols, with an inverted index from token pair to the positions where it occurs.
+Texts are cut into words as the public byte-level vocabularies expect. The distinct words that are new to
+a partition of the corpus lie in one flat array of symbols, with an inverted index from token pair to the positions where it occurs.
 Merges are replayed in rank order: each takes all positions of its pair at once, joins them, and enters
-only the pairs with the touched neighbours into the index. The words' tokens are then copied to every
-place in the texts. Decoding concatenates the tokens' bytes. No rows shuffle.
+only the pairs with the touched neighbours into the index. The words' tokens are kept for the rest of the
+partition, so no word is replayed twice there, and copied to every place in the texts. Decoding concatenates the tokens' bytes. No rows shuffle.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 SLICE_WORDS = 1 << 19
 SLICE_BYTES = 1 << 23
+KNOWN_WORDS = 1 << 22
 
 
 def character_classes() -> np.ndarray:
@@ -195,18 +196,45 @@ def replay(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarra
     return symbol[alive].astype(np.int32), np.bincount(word[alive], minlength=len(words))
 
 
-def encode_texts(texts: list[str], vocab: Vocabulary, classes: np.ndarray, hasher: Hasher):
-    """Distinct words' tokens and numbers, each word's place among them, and the word at which texts begin."""
+class Words:
+    """Tokens of the words met so far, by the words' sorted hashes; it starts again beyond ``KNOWN_WORDS``."""
+
+    def __init__(self, vocab: Vocabulary) -> None:
+        self.vocab = vocab
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.at, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.tokens = np.zeros(0, np.int32)
+
+    def find(self, hashes: np.ndarray, word) -> np.ndarray:
+        """Places among the known words of sorted, distinct hashes; ``word`` gives the bytes of those at some indices."""
+        if len(self.hashes) + len(hashes) > KNOWN_WORDS:
+            self.clear()
+        place = np.searchsorted(self.hashes, hashes)
+        known = place < len(self.hashes)
+        known[known] = self.hashes[place[known]] == hashes[known]
+        new = np.flatnonzero(~known)
+        if len(new):
+            tokens, number = replay(word(new), self.vocab)
+            at = np.cumsum(number) - number + len(self.tokens)
+            self.tokens = np.concatenate([self.tokens, tokens])
+            self.at, self.number = np.insert(self.at, place[new], at), np.insert(self.number, place[new], number)
+            self.hashes = np.insert(self.hashes, place[new], hashes[new])
+        return np.searchsorted(self.hashes, hashes)
+
+
+def encode_texts(texts: list[str], words: Words, classes: np.ndarray, hasher: Hasher):
+    """Each word's place among the known words, and the word at which texts begin."""
     points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
     sizes = np.array([len(t) for t in texts], np.int64)
     begins = np.cumsum(sizes) - sizes
     starts = word_starts(points, begins[sizes > 0], classes)
     ends = np.append(starts[1:], len(points))[: len(starts)]
-    _, first, place = np.unique(hasher.ranges(points, starts, ends), return_index=True, return_inverse=True)
+    hashes, first, place = np.unique(hasher.ranges(points, starts, ends), return_index=True, return_inverse=True)
     joined = "".join(texts)
-    words = [joined[a:b].encode() for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-    tokens, number = replay(words, vocab) if words else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-    return tokens, number, place, np.append(np.searchsorted(starts, begins), len(starts))
+    found = words.find(hashes, lambda new: [joined[a:b].encode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+    return found[place], np.append(np.searchsorted(starts, begins), len(starts))
 
 
 def tokens_to_bytes(tokens: np.ndarray, vocab: Vocabulary) -> np.ndarray:
@@ -227,12 +255,12 @@ def bpe_encode(
 
     def encode(batches):
         vocab, classes = shared.value
-        hasher = Hasher()
+        hasher, words = Hasher(), Words(vocab)
         for batch in (b.slice(*part) for b in batches for part in row_slices(b.column(1), SLICE_BYTES)):
             column = batch.column(1)
             texts = [t or "" for t in column.to_pylist()]
-            tokens, number, place, bounds = encode_texts(texts, vocab, classes, hasher)
-            begin = np.cumsum(number) - number
+            place, bounds = encode_texts(texts, words, classes, hasher)
+            tokens, number, begin = words.tokens, words.number, words.at
             at = 0
             while at < len(texts):  # whole texts, about SLICE_WORDS words at a time
                 to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + SLICE_WORDS, side="right")) - 1)
