@@ -87,24 +87,31 @@ def train(
     dictionary_bytes: int = 64 << 10,
     block: int = 2048,
     max_loss: float = 0.005,
+    max_bytes: int = 1 << 16,
 ) -> Model:
     """Fit on at most ``max_labelled`` labelled documents of each class, those with the least id hash.
 
     Two thirds build the dictionaries, one third the calibration. Labels other than 0 and 1, null ids
-    and null texts are left out, and of several labels or texts for an id the least one counts. Without
-    labels of both classes the model knows nothing and gives 0.5 to all.
+    and null texts are left out, and of several labels or texts for an id the least one counts; so are texts of
+    more than ``max_bytes`` bytes, whole, so that the sample fits the driver. Documents that ``labels`` call toxic,
+    if it has such a column, are no examples of good text. Other columns of either table are ignored, whatever
+    their names. Without labels of both classes the model knows nothing and gives 0.5 to all.
     """
-    clean = labels.where("quality in (0, 1)").where(F.col(q(id_col)).isNotNull())
-    clean = clean.groupBy(F.col(q(id_col)).alias("lid")).agg(F.min("quality").alias("quality"))
+    known = {c.lower(): c for c in labels.columns}
+    toxic = F.coalesce(F.col(q(known["toxic"])) == 1, F.lit(False)) if "toxic" in known else F.lit(False)
+    clean = labels.select(F.col(q(id_col)).alias("lid"), F.col(q("quality")).alias("quality"), toxic.alias("toxic"))
+    clean = clean.where(F.col("quality").isin(0, 1) & F.col("lid").isNotNull())
+    clean = clean.groupBy("lid").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).where("quality = 0 or not toxic")
     chosen = None
     for v in (0, 1):
         part = clean.where(F.col("quality") == v).orderBy(F.xxhash64("lid"), "lid").limit(max_labelled)
         chosen = part if chosen is None else chosen.unionByName(part)
+    named = docs.select(F.col(q(id_col)).alias("did"), F.col(q(text_col)).alias("text"))
     rows = (
-        docs.join(F.broadcast(chosen), F.col(q(id_col)) == F.col("lid"))  # at most 2 * max_labelled rows
-        .where(F.col(q(text_col)).isNotNull())
+        named.join(F.broadcast(chosen), F.col("did") == F.col("lid"))  # at most 2 * max_labelled rows
+        .where(F.octet_length("text") <= max_bytes)
         .groupBy("lid", "quality")
-        .agg(F.min(F.col(q(text_col))).alias("text"))
+        .agg(F.min("text").alias("text"))
         .select("lid", "quality", "text", F.xxhash64("lid", F.lit(1)).alias("h"))
         .collect()
     )
