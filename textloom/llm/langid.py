@@ -21,6 +21,8 @@ from textloom.llm.common import q, with_text
 GRAM_BITS, AFFIX_BITS, LEXICON_BITS = 16, 16, 18
 LINES_WORDS = 1 << 18
 SLICE_BYTES = 1 << 21
+HELD_OUT = 4
+PRIOR = 30
 
 
 def features(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, hasher: Hasher):
@@ -42,6 +44,11 @@ def features(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, hasher: Hash
     return gram, affixes, hasher.ranges(buf, starts, ends)
 
 
+def without_digits(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    digits = np.concatenate([[0], np.cumsum((buf >= 48) & (buf < 58))])
+    return digits[ends] == digits[starts]
+
+
 def forward_backward(score: np.ndarray, begin: np.ndarray, length: np.ndarray, step: np.ndarray, start: np.ndarray):
     """Scaled forward and backward vectors of each word; ``step`` and ``start`` are weights, not logs."""
     e = np.exp(score - score.max(1, keepdims=True))
@@ -81,6 +88,33 @@ class Model:
         self.lexicon = np.zeros((1 << LEXICON_BITS, n), np.float32)
         self.entry = np.zeros(1 << LEXICON_BITS, np.uint64)  # the word whose weights a slot has
         self.step, self.start = np.zeros((n, n), np.float32), np.zeros(n, np.float32)
+        self.familiar = np.zeros(1 << GRAM_BITS, np.float32)  # whether an n-gram occurs in the sample
+        self.min_familiar = 0.0
+
+    def calibrate(self, gram: np.ndarray, starts: np.ndarray, plain: np.ndarray, doc: np.ndarray, lang: np.ndarray) -> None:
+        """What share of familiar n-grams a text must have, from sample texts that are held out.
+
+        The threshold is half-way from what texts of one language get from those of all others (the mean of
+        the languages' medians) to a low quantile of what texts get from other texts of all languages.
+        """
+        size = np.diff(np.append(starts, len(gram)))
+        byte_doc = np.repeat(doc, size)
+        mine = np.where(np.repeat(plain, size), gram[starts[0] :], 0)
+        inside = mine > 0
+
+        def shares(out: np.ndarray) -> np.ndarray:
+            known = np.zeros(1 << GRAM_BITS, bool)
+            known[mine[inside & ~out]] = True
+            held = inside & out
+            n, hits = np.bincount(byte_doc[held]), np.bincount(byte_doc[held], weights=known[mine[held]])
+            return (hits[n > 0] + PRIOR) / (n[n > 0] + PRIOR)
+
+        near = np.concatenate([shares(byte_doc % HELD_OUT == k) for k in range(HELD_OUT)])
+        far = [shares(lang[byte_doc] == k) for k in range(len(self.languages))]
+        far = [float(np.median(x)) for x in far if len(x)]
+        self.familiar[mine[inside]] = 1
+        if len(near) and far:
+            self.min_familiar = (float(np.quantile(near, 0.02)) + sum(far) / len(far)) / 2
 
     def slot(self, words: np.ndarray) -> np.ndarray:
         """Lexicon slots of words; 0, which has no weight, for those without an entry."""
@@ -94,9 +128,9 @@ class Model:
         return out + self.lexicon[slot]
 
     def label(self, column: pa.Array, hasher: Hasher):
-        """Label and probability of each word, and the word at which each text begins."""
+        """Label and probability of each word, how many of its n-grams the sample has and lacks, and the word at which each text begins."""
         buf, offsets = text_bytes(column)
-        scores, lines, begins, at_line = [], [], [], 0
+        scores, lines, begins, familiar, at_line = [], [], [], [], 0
         for a, b in pieces(buf):
             piece = buf[a:b]
             s, e = spans(piece)
@@ -104,11 +138,13 @@ class Model:
             if len(s):
                 gram, affixes, words = features(piece, s, e, hasher)
                 scores.append(self.scores(gram, s, affixes, self.slot(words)))
+                hits = np.add.reduceat(self.familiar[gram], s)
+                familiar.append(np.stack([hits, e - s - hits], 1) * without_digits(piece, s, e)[:, None])
                 lines.append(breaks[s] + at_line)
                 begins.append(s + a)
             at_line += int(breaks[-1])
         if not scores:
-            return np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(len(offsets), np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros((0, 2)), np.zeros(len(offsets), np.int64)
         score, line, begin = np.concatenate(scores), np.concatenate(lines), np.concatenate(begins)
         first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
         length = np.diff(np.append(first, len(line)))
@@ -123,7 +159,7 @@ class Model:
             label[w0:w1] = p.argmax(1)
             sure[w0:w1] = p.max(1) / p.sum(1)
             at = to
-        return label, sure, np.searchsorted(begin, offsets)
+        return label, sure, np.concatenate(familiar), np.searchsorted(begin, offsets)
 
 
 def fit(texts: list[str], labels: list[str], rounds: int = 25, rate: float = 0.5, min_count: int = 3) -> Model:
@@ -141,7 +177,9 @@ def fit(texts: list[str], labels: list[str], rounds: int = 25, rate: float = 0.5
         return model
     gram, affixes, words = features(buf, s, e, hasher)
     doc = np.searchsorted(offsets, s, side="right") - 1
-    truth_of = np.array([languages.index(x) for x in labels])[doc]
+    lang = np.array([languages.index(x) for x in labels])
+    model.calibrate(gram, s, without_digits(buf, s, e), doc, lang)
+    truth_of = lang[doc]
     common, count = np.unique(words, return_counts=True)
     common = common[count >= min_count]
     at = (common >> np.uint64(64 - LEXICON_BITS)).astype(np.int64)
@@ -214,24 +252,27 @@ def train(
     lang_col: str = "lang",
     max_per_language: int = 80,
     min_per_language: int = 10,
+    max_languages: int = 256,
+    max_bytes: int = 1 << 16,
 ) -> Model:
-    """Fit on at most ``max_per_language`` documents of each language, those with the least id hash.
+    """Fit on at most ``max_per_language`` documents of each language, those with the least hash of their row.
 
-    Rows without text or language are left out, and languages with fewer documents than
-    ``min_per_language``. With fewer than two languages left every word gets the only one, or none.
+    Rows without text or language are left out, and so are texts of more than ``max_bytes`` bytes, whole, so that the
+    sample fits the driver, languages with fewer documents than ``min_per_language`` in it, and all but the
+    ``max_languages`` most frequent languages. Rows that repeat are one; an id with several texts or languages gives an
+    example for each. Other columns are ignored, whatever their names. With fewer than two languages left
+    every word gets the only one, or none.
     """
-    order = Window.partitionBy("lang").orderBy("h", "key")
-    ids = docs.where(F.col(q(text_col)).isNotNull() & F.col(q(lang_col)).isNotNull()).select(
-        F.col(q(lang_col)).alias("lang"), F.xxhash64(F.col(q(id_col))).alias("h"), F.col(q(id_col)).alias("key")
-    )
-    ids = ids.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_per_language)
-    sample = ids.groupBy("h").agg(F.first("lang").alias("sample_lang")).withColumnRenamed("h", "sample_h")
+    named = docs.select(F.col(q(id_col)).alias("id"), F.col(q(text_col)).alias("text"), F.col(q(lang_col)).cast("string").alias("lang"))
+    named = named.where((F.octet_length("text") <= max_bytes) & F.col("lang").isNotNull())
+    named = named.withColumn("h", F.xxhash64("id", "lang", F.octet_length("text"), F.substring("text", 1, 64)))
+    order = Window.partitionBy("lang").orderBy("h")
+    some = named.select("lang", "h").withColumn("rank", F.rank().over(order)).where(F.col("rank") <= max_per_language)
+    common = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).select("lang")
+    sample = some.join(F.broadcast(common), "lang").select(F.col("h").alias("sample_h"), F.col("lang").alias("sample_lang")).distinct()
     texts = (
-        docs.withColumnRenamed(lang_col, "lang_of")
-        .where(F.col(q(text_col)).isNotNull())
-        .join(F.broadcast(sample), F.xxhash64(F.col(q(id_col))) == F.col("sample_h"))  # bounded by the limit
-        .where(F.col("lang_of") == F.col("sample_lang"))
-        .select(F.col("lang_of").alias("lang"), F.col(q(text_col)).alias("text"), "sample_h")
+        named.join(F.broadcast(sample), (F.col("h") == F.col("sample_h")) & (F.col("lang") == F.col("sample_lang")))  # bounded by the limits
+        .select("sample_h", "lang", "text")
         .distinct()
         .collect()
     )
@@ -252,20 +293,22 @@ def identify(
     columns: list[str] | None = None,
     with_runs: bool = True,
 ) -> DataFrame:
-    """``docs`` with the columns main_lang, main_share, confidence, n_words, run_langs, run_words, accepted.
+    """``docs`` with the columns main_lang, main_share, confidence, familiar, n_words, run_langs, run_words, accepted.
 
     ``main_lang`` labels most words (the first in order of the languages on ties), ``main_share`` of
-    them; ``confidence`` is the mean probability of all labels. ``run_langs`` and ``run_words`` give the
+    them; ``confidence`` is the mean probability of all labels, ``familiar`` the share of the text's n-grams, in
+    words without digits, that the sample has, as if ``PRIOR`` more were there that it has. ``run_langs`` and ``run_words`` give the
     label of every word, as runs of equal labels. A document is accepted if its main language is one of
-    ``languages`` (all that are known, by default) and has at least ``min_share`` of its words. Null
+    ``languages`` (all that are known, by default), has at least ``min_share`` of its words, and the text is as familiar
+    as the model asks, which text in an unknown language or none is not. Null
     texts and texts without words have no main language, share 0, no runs, and are not accepted. Columns
     of the input with the names of new ones are replaced; all others, or those in ``columns``, pass through.
     """
-    names = ["main_lang", "main_share", "confidence", "n_words", "run_langs", "run_words", "accepted"]
+    names = ["main_lang", "main_share", "confidence", "familiar", "n_words", "run_langs", "run_words", "accepted"]
     if not with_runs:
         names = [x for x in names if "run_" not in x]
     cols = [c for c in (docs.columns if columns is None else columns) if c.lower() not in names]
-    kinds = {"main_lang": "string", "main_share": "double", "confidence": "double", "n_words": "long", "accepted": "boolean"}
+    kinds = {"main_lang": "string", "main_share": "double", "confidence": "double", "familiar": "double", "n_words": "long", "accepted": "boolean"}
     kinds |= {"run_langs": "array<string>", "run_words": "array<int>"}
     blank = docs.select(*[F.col(q(c)) for c in cols])
     for x in names:
@@ -277,21 +320,24 @@ def identify(
         known = pa.array(model.languages or [None], pa.string())
         for batch in (b.slice(*part) for b in batches for part in row_slices(b.column(place), SLICE_BYTES)):
             if model.languages:
-                label, sure, bounds = model.label(pc.utf8_lower(batch.column(place)), hasher)
+                label, sure, familiar, bounds = model.label(pc.utf8_lower(batch.column(place)), hasher)
             else:
-                label, sure, bounds = np.zeros(0, np.int64), np.zeros(0), np.zeros(len(batch) + 1, np.int64)
+                label, sure, familiar, bounds = np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 2)), np.zeros(len(batch) + 1, np.int64)
             words = np.diff(bounds)
             doc = np.repeat(np.arange(len(words)), words)
             counts = np.bincount(doc * n + label, minlength=len(words) * n).reshape(-1, n)
             main, most = counts.argmax(1), counts.max(1)
             share = most / np.maximum(words, 1)
             mean = np.bincount(doc, weights=sure, minlength=len(words)) / np.maximum(words, 1)
-            fine = (words > 0) & (share >= min_share) & allowed[main]
+            hits, misses = (np.bincount(doc, weights=familiar[:, c], minlength=len(words)) for c in (0, 1))
+            known_share = np.where(words > 0, (hits + PRIOR) / (hits + misses + PRIOR), 0.0)
+            fine = (known_share >= model.min_familiar) & (words > 0) & (share >= min_share) & allowed[main]
             new = np.ones(len(label), bool)
             new[1:] = (label[1:] != label[:-1]) | (doc[1:] != doc[:-1])
             at = np.flatnonzero(new)
             offsets = pa.array(np.searchsorted(at, bounds).astype(np.int32))
             made = {
+                "familiar": pa.array(known_share),
                 "main_lang": known.take(pa.array(main, mask=words == 0)),
                 "main_share": pa.array(share),
                 "confidence": pa.array(mean),
