@@ -58,13 +58,15 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_dedup(docs_of(spark, ODD).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("words", [1, 4, 1 << 21])
-def test_exact_dedup_whatever_the_filter(spark, words):
+@pytest.mark.parametrize("bits,block,part", [(64, 64, 7), (256, 64, 1 << 21), (1 << 30, 1 << 20, 20)])
+def test_exact_dedup_whatever_the_filter(spark, monkeypatch, bits, block, part):
+    monkeypatch.setattr(exact_dedup, "BLOCK_BITS", block)
+    monkeypatch.setattr(exact_dedup, "PARTITION_ROWS", part)
     rows = corpus()
     first = {}
     for i, t in rows:
         first.setdefault(t, i)
-    got = exact_dedup.exact_dedup(docs_of(spark, rows), max_filter_words=words).select("doc_id", "text").collect()
+    got = exact_dedup.exact_dedup(docs_of(spark, rows), max_filter_bits=bits).select("doc_id", "text").collect()
     assert sorted(map(tuple, got)) == sorted((i, t) for t, i in first.items())
 
 
@@ -107,6 +109,14 @@ def test_line_dedup_cases(spark):
     assert line_dedup.line_dedup(df.limit(0)).count() == 0
 
 
+def test_line_dedup_of_a_very_long_text(spark):
+    lines = [f"line {i} of many" for i in range(20_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(["own"] + lines[5_000:] + ["end"])), (3, "\n".join(["a", "b"] * 3_000))]
+    got = {r.doc_id: (r.text, r.removed_lines) for r in line_dedup.line_dedup(docs_of(spark, rows)).collect()}
+    assert got[1] == (rows[0][1], 0) and got[2] == ("own\nend", 15_000)
+    assert got[3] == lines_by_hand(rows[2:])[3]
+
+
 # ---- packing
 
 
@@ -297,6 +307,34 @@ def test_quality_on_held_out_text(spark):
     assert quality.quality_scores(docs.limit(0), model).count() == 0
 
 
+def test_quality_sizes_and_sample(spark):
+    """Scores from sizes that plain zstandard gives, whatever the tables' other columns are called."""
+    import zstandard
+
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["sun", "moon", "star"] if i % 2 else ["XX", "YY", "ZZ"]) for _ in range(900))) for i in range(60)]
+    rows += [(1, "another text for id 1"), (60, "x" * 5000), (61, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    names = ("quality", "lid", "did", "toxic", "h")
+    odd = docs.select("*", *[F.lit(7).alias(c) for c in names])
+    labels = spark.createDataFrame([(i, i % 2, int(i == 5)) for i in range(62)] + [(3, 0, 0)], "doc_id long, quality int, toxic int")
+    models = [quality.train(d, x, dictionary_bytes=1024, block=100, max_bytes=4900) for d, x in ((docs, labels), (odd, labels.select("*", F.lit(1).alias("text"))))]
+    assert (models[0].good, models[0].bad, models[0].slope) == (models[1].good, models[1].bad, models[1].slope)
+    got = quality.quality_scores(odd, models[1]).collect()
+    assert set(names) <= set(got[0].asDict())
+    for r in got:
+        sizes = []
+        for raw in (models[0].good, models[0].bad):
+            d = zstandard.ZstdCompressionDict(raw)
+            c = zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+            t = (r.text or "").encode()
+            sizes.append(sum(len(c.compress(t[i : i + 100])) for i in range(0, len(t), 100)))
+        x = (sizes[1] - sizes[0]) / (sizes[0] + sizes[1] + quality.PRIOR)
+        assert r.quality_score == pytest.approx(1 / (1 + math.exp(-(models[0].slope * x + models[0].offset))), abs=1e-9)
+    empty = quality.train(docs.limit(0), labels)
+    assert all(r.quality_score == 0.5 for r in quality.quality_scores(docs, empty).collect())
+
+
 def test_quality_without_labels_keeps_all(spark):
     docs = docs_of(spark, ODD)
     labels = spark.createDataFrame([], "doc_id long, quality int")
@@ -346,9 +384,55 @@ def test_language_id_labels_switched_text(spark):
     assert [r.n_words for r in odd if r.doc_id == 6] == [30_000]
     assert langid.identify(docs_of(spark, ODD).limit(0), model).count() == 0
     nobody = langid.fit([], [])
+    assert nobody.min_familiar == 0
     assert all(not r.accepted for r in langid.identify(docs_of(spark, ODD), nobody).collect())
 
 
+def test_language_labels_are_those_of_all_paths(spark):
+    """Each word's label from the sum over all label sequences of its line, with features looked up one by one."""
+    import itertools
+
+    from textloom.llm.arrays import spans, text_bytes
+
+    rng = random.Random(5)
+    rows = [(i, " ".join(sentence(rng, list(LEXICA)[i % 3], 15)), list(LEXICA)[i % 3]) for i in range(60)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = [" ".join(sentence(rng, "en", 3) + sentence(rng, "fr", 2)) + "\n" + " ".join(sentence(rng, "de", 4)) for _ in range(5)]
+    got = {r.doc_id: r for r in langid.identify(docs_of(spark, list(enumerate(texts))), model).collect()}
+    for i, text in enumerate(texts):
+        want = []
+        for line in text.split("\n"):
+            buf, _ = text_bytes(pa.array([line]))
+            s, e = spans(buf)
+            gram, affixes, words = langid.features(buf, s, e, Hasher())
+            slot = model.slot(words)
+            score = [[sum(model.gram[g][k] for g in gram[a:b]) + sum(x[j] for x in [model.affix[f[w]] for f in affixes] for j in [k])
+                      + model.lexicon[slot[w]][k] for k in range(3)] for w, (a, b) in enumerate(zip(s, e))]
+            total = np.zeros((len(s), 3))
+            for path in itertools.product(range(3), repeat=len(s)):
+                value = model.start[path[0]] + sum(score[t][path[t]] for t in range(len(s))) + sum(model.step[a][b] for a, b in zip(path, path[1:]))
+                total[np.arange(len(s)), path] += math.exp(value)
+            want += [model.languages[k] for k in total.argmax(1)]
+        r = got[i]
+        assert [x for lang, n in zip(r.run_langs, r.run_words) for x in [lang] * n] == want
+        assert r.main_lang == max(model.languages, key=lambda x: (want.count(x), [-model.languages.index(x)])) and r.accepted
+
+
+def test_language_sample_and_rejection(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(sentence(rng, list(LEXICA)[i % 3], 60)), list(LEXICA)[i % 3]) for i in range(90)]
+    plain = spark.createDataFrame(rows + [(0, "das ist alles", "de"), rows[4]], "doc_id long, text string, lang string")
+    docs = plain.select("*", *[F.lit(9).alias(c) for c in ("lang_of", "sample_h", "sample_lang", "h", "rank", "id")])
+    models = [langid.train(docs.repartition(n)) for n in (1, 5)] + [langid.train(plain)]
+    assert all((m.gram == models[0].gram).all() and m.min_familiar == models[0].min_familiar for m in models)
+    noise = [(i, " ".join("".join(rng.choice("qxzkvjwbpyg") for _ in range(6)) for _ in range(50))) for i in range(30)]
+    other = [(i, "ελληνικά είναι μια γλώσσα που δεν υπάρχει στο δείγμα " * 3) for i in range(30, 40)]
+    clean = [(100 + i, " ".join(sentence(rng, list(LEXICA)[i % 3], rng.choice([1, 3, 40])))) for i in range(60)]
+    got = {r.doc_id: r.accepted for r in langid.identify(docs_of(spark, noise + other + clean), models[0]).collect()}
+    assert not any(got[i] for i in range(40)) and all(got[i] for i, _ in clean)
+    assert langid.train(plain.limit(0)).languages == []
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(0)
     score, step, start = rng.normal(size=(9, 3)), np.exp(rng.normal(size=(3, 3))), np.exp(rng.normal(size=3))
@@ -528,9 +612,13 @@ def test_equal_vectors_are_one(spark):
 # ---- BPE
 
 
-def test_bpe_matches_the_public_library(spark):
+@pytest.mark.parametrize("known", [1 << 22, 300])
+def test_bpe_matches_the_public_library(spark, monkeypatch, known):
     import tiktoken
 
+    monkeypatch.setattr(bpe, "KNOWN_WORDS", known)
+    monkeypatch.setattr(bpe, "SLICE_BYTES", 2000)
+
     import base64
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(VOCAB, "rb"))}
@@ -539,8 +627,8 @@ def test_bpe_matches_the_public_library(spark):
     rng = random.Random(8)
     alphabet = ["a", "b", "the", "ing", " ", " ", "  ", "\n", "\t", "'", "'s", "'ll", "'re", "1", "42", "é", "ß", "漢字", "😀", "!", "...", " ", "Ⅷ", "<|endoftext|>", "aaaa"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(400)]
-    texts += ["", " ", "'s", " 's", "!'s x", "it's's", "'", "a'", "'l", "'r", "don't  stop \n\n now", LONG[:5000], "a" * 1000]
-    rows = [(i, t) for i, t in enumerate(texts)] + [(9000, None), (None, "x")]
+    texts += ["", " ", "'s", " 's", "!'s x", "it's's", "'", "a'", "'l", "'r", "don't  stop \n\n now", LONG, "a" * 1000]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(9000, None), (None, "x"), (5, texts[5])]
     df = docs_of(spark, rows)
     enc = bpe.bpe_encode(df, VOCAB, verify=True)
     out = {r.doc_id: r for r in enc.collect()}
