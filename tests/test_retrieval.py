@@ -18,6 +18,7 @@ from textloom.operators import retrieve as R
 from textloom.operators import vector as V
 from textloom.plans.config import Config
 from textloom.plans.engine import Engine
+from textloom.sources.store import IndexStore
 
 STOP = K.COMMON_WORDS | K.NOISE_TERMS
 VOCAB = "neural network gradient descent kernel matrix tensor graph vertex protein enzyme market inflation yield learning learned learns the of and".split()
@@ -104,6 +105,41 @@ def test_hash_retrieval(chunks, queries):
     assert not got.get(3) and not got.get(5) and not got.get(6)
 
 
+def test_postings_of_asked_grams_only(spark, chunks, queries):
+    terms = R.query_terms(queries)
+    only = R.pieces(terms).select("piece")
+    wanted = {r.piece for r in only.collect()}
+    whole = {(r.doc_id, r.idx, r.gram, r["size"]) for r in I.postings(chunks).collect() if r.gram in wanted}
+    assert {(r.doc_id, r.idx, r.gram, r["size"]) for r in I.postings(chunks, only=only).collect()} == whole and whole
+    a, b = (sorted(map(str, R.hash_retrieve(queries, chunks, p, 10).collect())) for p in (I.postings(chunks), None))
+    assert a == b
+
+
+def test_engine_leaves_out_documents_before_it_ranks(spark):
+    """25 documents that repeat one of the query's seven words, and one that begins with three of them."""
+    docs = [(i, "Rivers everywhere. " + "quartz " * 40 + "and sediment rivers quartz sediment flows.") for i in range(25)]
+    docs += [(99, "Quartz crystal lattices vibrate. " + "They are stable over long times in clocks and sensors. " * 3)]
+    engine = Engine(spark, Config(context_gate_enabled=False))
+    engine.ingest(spark.createDataFrame(docs, "doc_id long, text string"))
+    asked = spark.createDataFrame([(1, "crystal lattices vibrate sediment basins erosion delta")], "query_id int, query string")
+    assert 99 in {r.doc_id for r in engine.retrieve(asked, 5, "hash").collect()}
+
+
+def test_engine_of_files_removal_and_reopening(spark, tmp_path):
+    for i, t in enumerate(["Copper conducts electricity well in wires.", "Granite is a coarse igneous rock of quartz."]):
+        (tmp_path / f"f{i}.txt").write_text(t * 5)
+    engine = Engine(spark, Config(context_gate_enabled=False))
+    engine.ingest_path(str(tmp_path))
+    asked = spark.createDataFrame([(1, "granite quartz rock")], "query_id int, query string")
+    granite = next(r.doc_id for r in engine.index.docs.collect() if "Granite" in r.text)
+    store = IndexStore(spark, str(tmp_path / "index"))
+    engine.index.save(store)
+    again = Engine.open(spark, store, Config(context_gate_enabled=False))
+    assert {r.doc_id for r in again.retrieve(asked, 3, "hash").collect()} == {granite}
+    again.remove(spark.createDataFrame([(granite,)], "doc_id long"))
+    assert granite not in {r.doc_id for r in again.index.postings.collect()} and again.index.docs.count() == 1
+
+
 def test_fallback_by_stems(spark, chunks):
     q = spark.createDataFrame([(1, "descents vertexes")], "query_id int, query string")
     found = R.hash_retrieve(q, chunks, I.postings(chunks).limit(0), 50).collect()

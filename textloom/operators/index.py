@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import measures as M
 from textloom.functions import text as X
+from textloom.operators import grams as N
 
 DEFINITIONS = (
     r"(?im)\b([A-Za-z][A-Za-z -]{2,40}?)\s+(?:is|are)\s+(?:defined\s+as|known\s+as|called|referred\s+to\s+as)\b",
@@ -28,17 +29,19 @@ DEFINITIONS = (
 BOLD = r"\*\*(.+?)\*\*|__(.+?)__"
 
 
-def postings(chunks: DataFrame, id_col: str = "doc_id", max_n: int = 4) -> DataFrame:
-    """(<id>, idx, gram, size) of every distinct n-gram of a chunk; made in place, without a shuffle."""
-    grams = F.array_distinct(X.indexable_ngrams(F.col("words"), max_n))
-    return chunks.select(id_col, "idx", F.inline(grams))
+def postings(chunks: DataFrame, id_col: str = "doc_id", max_n: int = 4, only: DataFrame | None = None) -> DataFrame:
+    """(<id>, idx, gram, size) of every distinct n-gram of a chunk; made in place, without a shuffle.
+
+    With ``only``, a table of one column, just those n-grams: by their hashes before they become rows, if they are few.
+    """
+    asked = None if only is None else N.asked_hashes(only)
+    rows = N.gram_rows(chunks, id_col, 2, max_n, "long", asked).select(id_col, "idx", "gram", "size")
+    return rows if only is None else rows.join(only.toDF("gram").distinct(), "gram", "left_semi").select(id_col, "idx", "gram", "size")
 
 
 def gram_frequency(chunks: DataFrame, id_col: str = "doc_id", max_n: int = 4) -> DataFrame:
     """(gram, size, occurrences, chunks, docs): how often and where each n-gram occurs."""
-    each = chunks.select(id_col, "idx", F.inline(X.indexable_ngrams(F.col("words"), max_n)))
-    per_chunk = each.groupBy(id_col, "idx", "gram", "size").agg(F.count(F.lit(1)).alias("n"))
-    per_doc = per_chunk.groupBy(id_col, "gram", "size").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("c"))
+    per_doc = N.gram_rows(chunks, id_col, 2, max_n).groupBy(id_col, "gram", "size").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("c"))
     return per_doc.groupBy("gram", "size").agg(
         F.sum("n").alias("occurrences"), F.sum("c").alias("chunks"), F.count(F.lit(1)).alias("docs")
     )
@@ -103,14 +106,14 @@ def chunk_terms(chunks: DataFrame, id_col: str = "doc_id", text_col: str | None
 
     With ``text_col``, chunks that are tables of contents give only the words that no table names.
     """
+    if text_col is None:
+        return N.gram_rows(chunks, id_col, 2, 3, "terms").where((F.col("size") == 1) | ~F.col("gram").rlike(X.URL_NOISE)).select(
+            id_col, "idx", F.col("gram").alias("term"), "n"
+        )
     w = F.col("words")
     single = F.transform(F.filter(w, lambda x: (F.length(x) > 1) & ~X.is_noise(x)), lambda x: x)
     # a run's ends are never noise, so the share of noise in it cannot reach the limit; only the patterns count
     grams = F.filter(F.transform(X.indexable_ngrams(w, 3, unigrams=False), lambda g: g["gram"]), lambda g: ~g.rlike(X.URL_NOISE))
-    if text_col is None:
-        return chunks.select(id_col, "idx", F.explode(F.concat(single, grams)).alias("term")).groupBy(id_col, "idx", "term").agg(
-            F.count(F.lit(1)).alias("n")
-        )
     toc = X.toc_ratio(F.col(text_col)) > 0.5
     marked = chunks.withColumn("__toc", toc)
     per_doc = Window.partitionBy(id_col)
@@ -122,9 +125,8 @@ def chunk_terms(chunks: DataFrame, id_col: str = "doc_id", text_col: str | None
 
 def term_statistics(terms: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(<id>, term, freq, chunks, chunk_ids): occurrences, and the chunks that have the term, in order."""
-    return terms.groupBy(id_col, "term").agg(
-        F.sum("n").alias("freq"), F.count(F.lit(1)).alias("chunks"), F.array_sort(F.collect_list("idx")).alias("chunk_ids")
-    )
+    rows = terms.groupBy(id_col, "term").agg(F.sum("n").alias("freq"), F.array_sort(F.collect_set("idx")).alias("chunk_ids"))
+    return rows.select(id_col, "term", "freq", F.size("chunk_ids").cast("long").alias("chunks"), "chunk_ids")
 
 
 def pmi(stats: DataFrame, totals: DataFrame, id_col: str = "doc_id") -> DataFrame:

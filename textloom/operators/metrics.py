@@ -6,7 +6,7 @@ import time
 from collections import defaultdict
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,10 +20,17 @@ def percentile(values: Column, p: float) -> Column:
 def summary(rows: DataFrame, name: str = "name", value: str = "value") -> DataFrame:
     """(<name>, n, total, average, median, minimum, maximum, p95) of each measurement; nulls are left out."""
     good = rows.where(F.col(value).isNotNull())
-    return good.groupBy(name).agg(
+    out = good.groupBy(name).agg(
         F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("average"), F.median(value).alias("median"),
-        F.min(value).alias("minimum"), F.max(value).alias("maximum"), percentile(F.collect_list(value), 95).alias("p95"),
+        F.min(value).alias("minimum"), F.max(value).alias("maximum"),
     )
+    # the value at the place of the percentile, by cumulative counts of distinct values
+    each = good.groupBy(F.col(name).alias("__name"), F.col(value).alias("__value")).agg(F.count(F.lit(1)).alias("__times"))
+    each = each.withColumn("__up_to", F.sum("__times").over(Window.partitionBy("__name").orderBy("__value")))
+    at = F.least(F.floor(F.col("n") * 95 / 100), F.col("n") - 1)
+    spot = out.select(name, at.alias("__at")).join(each, F.col(name).eqNullSafe(F.col("__name")) & (F.col("__up_to") > F.col("__at")))
+    spot = spot.groupBy(F.col(name).alias("__spot")).agg(F.min("__value").alias("p95"))
+    return out.join(spot, F.col(name).eqNullSafe(F.col("__spot"))).drop("__spot")
 
 
 class Metrics:

@@ -7,11 +7,16 @@ by their measured sizes; nothing is broadcast by hint.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom import constants as K
 from textloom.functions import text as X
+from textloom.operators import grams as N
+from textloom.operators import index
+from textloom.plans.shared import cut
 
 SPECIFIC = ("what is", "define", "explain", "how does", "what are", "describe", "difference between")
 WEIGHTS = {"coverage": 0.30, "density": 0.25, "alignment": 0.20, "position": 0.08, "specificity": 0.12, "proximity": 0.05}
@@ -106,33 +111,61 @@ def hash_score(total: Column, overlap: Column, toc: Column, n_tokens: Column) ->
     return F.least(F.greatest(s - 0.4 * toc, F.lit(0.0)) + 0.02 * F.col("max_size"), F.lit(1.0))
 
 
-def fallback_hits(terms: DataFrame, chunks: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Hits by words and stems for queries that met nothing in the postings."""
-    left = terms.join(found.select("query_id"), "query_id", "left_anti")
-    asked = left.select("query_id", F.explode(F.array_union("tokens", F.transform("tokens", X.stem))).alias("w"), "tokens")
-    have = chunks.select(id_col, "idx", "words", F.explode(F.array_union(F.array_distinct("words"), F.transform("words", X.stem))).alias("w"))
-    rows = asked.join(have.drop("words"), "w").groupBy("query_id", id_col, "idx").agg(F.countDistinct("w").alias("hits"), F.first("tokens").alias("tokens"))
-    rows = rows.join(chunks.select(id_col, "idx", "words"), [id_col, "idx"])
-    enough = content_overlap(F.col("tokens"), F.col("words")) >= least_overlap(F.size("tokens"))
-    return rows.where(enough).select("query_id", id_col, "idx", "hits", F.lit(0).cast("long").alias("multi_hits"), F.lit(2).alias("max_size"))
+def overlaps(rows: DataFrame, terms: DataFrame, chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``rows`` (query_id, <id>, idx, ...) with ``overlap``, the share of a query's content stems that the chunk has.
+
+    Only stems that are asked for become rows, and are counted per pair.
+    """
+    own = terms.select(F.col("query_id").alias("__q"), content_stems(F.col("tokens")).alias("stems"))
+    asked = own.select("__q", F.size("stems").alias("__n"), F.explode("stems").alias("w"))
+    have = N.stem_rows(chunks, id_col, N.asked_hashes(asked.select("w")))
+    both = asked.join(have, "w").groupBy("__q", F.col(id_col).alias("__d"), F.col("idx").alias("__i")).agg(
+        (F.count(F.lit(1)) / F.first("__n")).alias("overlap")
+    )
+    same = (F.col("query_id") == F.col("__q")) & (F.col(id_col) == F.col("__d")) & (F.col("idx") == F.col("__i"))
+    return rows.join(both, same, "left").drop("__q", "__d", "__i").withColumn("overlap", F.coalesce("overlap", F.lit(0.0)))
+
+
+def restricted(rows: DataFrame, allowed: DataFrame | None, id_col: str = "doc_id") -> DataFrame:
+    """``rows`` of the documents that are allowed (query_id, <id>); queries that have none are not restricted."""
+    if allowed is None:
+        return rows
+    bound = allowed.select("query_id").distinct()
+    return rows.join(allowed.select("query_id", id_col), ["query_id", id_col], "left_semi").unionByName(rows.join(bound, "query_id", "left_anti"))
+
+
+def fallback_hits(left: DataFrame, chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Hits by words and stems for queries, as of :func:`query_terms`, that met nothing in the postings."""
+    asked = left.select("query_id", F.explode(F.array_union("tokens", F.transform("tokens", X.stem))).alias("w"), F.size("tokens").alias("n"))
+    have = N.stem_rows(chunks, id_col, N.asked_hashes(asked.select("w")), content=False)
+    rows = asked.join(have, "w").groupBy("query_id", id_col, "idx").agg(F.countDistinct("w").alias("hits"), F.first("n").alias("n"))
+    rows = overlaps(rows, left, chunks, id_col)
+    return rows.where(F.col("overlap") >= least_overlap(F.col("n"))).select("query_id", id_col, "idx", "hits", F.lit(0).cast("long").alias("multi_hits"), F.lit(2).alias("max_size"))
 
 
 def hash_retrieve(
-    queries: DataFrame, chunks: DataFrame, postings: DataFrame, k: int = 20, id_col: str = "doc_id", fallback: bool = True
+    queries: DataFrame, chunks: DataFrame, postings: DataFrame | None, k: int = 20, id_col: str = "doc_id", fallback: bool = True,
+    allowed: DataFrame | None = None,
 ) -> DataFrame:
     """(query_id, <id>, idx, score, hash_hits, multi_hits, overlap, rank), the best k per query.
 
-    Ties are settled by hits, document and chunk. Chunks need (<id>, idx, text, words).
+    Ties are settled by hits, document and chunk. Chunks need (<id>, idx, text, words). Without ``postings``
+    only those of the queries' n-grams are made. ``allowed`` (query_id, <id>) names the documents that are searched
+    for a query, before its best are chosen; queries that it does not name search all.
     """
-    terms = query_terms(queries)
-    found = hits(terms, postings, id_col)
-    if fallback:
-        found = found.unionByName(fallback_hits(terms, chunks, found, id_col))
-    rows = found.join(terms.select("query_id", "tokens", F.size("stemmed").alias("total")), "query_id").join(
-        chunks.select(id_col, "idx", "text", "words"), [id_col, "idx"]
-    )
-    rows = rows.withColumn("overlap", content_overlap(F.col("tokens"), F.col("words")))
-    rows = rows.withColumn("score", hash_score(F.col("total"), F.col("overlap"), X.toc_ratio(F.col("text")), F.size("tokens")))
+    terms = cut(query_terms(queries))
+    if postings is None:
+        postings = index.postings(chunks, id_col, only=pieces(terms).select("piece"))
+    met = cut(hits(terms, postings, id_col))
+    found = restricted(met, allowed, id_col)
+    left = cut(terms.join(met.select("query_id"), "query_id", "left_anti")) if fallback else None
+    if left is not None and not left.isEmpty():
+        found = found.unionByName(restricted(fallback_hits(left, chunks, id_col), allowed, id_col))
+    rows = found.join(terms.select("query_id", F.size("tokens").alias("n_tokens"), F.size("stemmed").alias("total")), "query_id")
+    rows = overlaps(rows, terms, chunks, id_col)
+    toc = chunks.select(F.col(id_col).alias("__d"), F.col("idx").alias("__i"), X.toc_ratio(F.col("text")).alias("toc")).where("toc > 0")
+    rows = rows.join(toc, (F.col(id_col) == F.col("__d")) & (F.col("idx") == F.col("__i")), "left").drop("__d", "__i")
+    rows = rows.withColumn("score", hash_score(F.col("total"), F.col("overlap"), F.coalesce("toc", F.lit(0.0)), F.col("n_tokens")))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("hits"), "idx", id_col)
     return (
         rows.select("query_id", id_col, "idx", "score", F.col("hits").alias("hash_hits"), "multi_hits", "overlap", F.row_number().over(order).alias("rank"))
@@ -382,7 +415,12 @@ def expand(
 
 def document_relevance(queries: DataFrame, chunks: DataFrame, concepts: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
     """(query_id, <id>, relevance): the share of a query's content words in the first 200 characters of the
-    first 30 chunks, half for those found only inside a concept; 1 for a query without such words."""
+    first 30 chunks, half for those found only inside a concept; pairs without any have no row, and neither has a
+    query without such words, which is for all documents alike.
+
+    Up to ``N.ASKED`` distinct words become one automaton that reads each document once; beyond, documents meet the words
+    in blocks of them.
+    """
     head = chunks.where("idx < 30").groupBy(id_col).agg(
         F.lower(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", F.substring("text", 1, 200).alias("t")))), lambda x: x["t"]), " ")).alias("head")
     )
@@ -392,16 +430,50 @@ def document_relevance(queries: DataFrame, chunks: DataFrame, concepts: DataFram
     else:
         head = head.withColumn("labels", F.lit(""))
     content = F.array_distinct(F.filter(X.split_words(F.lower("query")), lambda w: ~X.member(w, K.RELEVANCE_STOP_WORDS) & (F.length(w) > 2)))
-    rows = queries.select("query_id", F.coalesce(content, strings()).alias("w")).crossJoin(head)
-    worth = F.transform("w", lambda x: F.when(F.contains(F.col("head"), x), 1.0).when(F.contains(F.coalesce("labels", F.lit("")), x), 0.5).otherwise(0.0))
-    total = F.aggregate(worth, F.lit(0.0), lambda a, x: a + x)
-    return rows.select("query_id", id_col, F.when(F.size("w") == 0, F.lit(1.0)).otherwise(total / F.greatest(F.size("w"), F.lit(1))).alias("relevance"))
+    asked = queries.select("query_id", F.coalesce(content, strings()).alias("words"))
+    asked = asked.select("query_id", F.size("words").alias("n"), F.explode("words").alias("w"))
+    words = asked.select("w").distinct()
+    parts = max(1, -(-words.count() // N.ASKED))
+    found = None
+    for part in range(parts):
+        mine = [r.w for r in words.where(F.pmod(F.xxhash64("w"), F.lit(parts)) == part).collect()]
+        made = head.select(id_col, "head", F.coalesce("labels", F.lit("")).alias("labels")).mapInArrow(_finder(mine, id_col), _found_schema(head, id_col))
+        found = made if found is None else found.unionByName(made)
+    met = asked.join(found, "w").groupBy("query_id", id_col)
+    return met.agg((F.sum("worth") / F.first("n")).alias("relevance"))
+
+
+def _found_schema(head: DataFrame, id_col: str) -> T.StructType:
+    return T.StructType([T.StructField(id_col, head.schema[id_col].dataType), T.StructField("w", T.StringType()), T.StructField("worth", T.DoubleType())])
+
+
+def _finder(words: list[str], id_col: str):
+    """Over (<id>, head, labels): (<id>, w, worth) of the words that occur in either, anywhere."""
+    def find(batches):
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for w in words:
+            machine.add_word(w, w)
+        if words:
+            machine.make_automaton()
+        for batch in batches:
+            at, got, worth = [], [], []
+            for i, (text, labels) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                first = {w for _, w in machine.iter(text or "")} if words else set()
+                second = ({w for _, w in machine.iter(labels)} if words and labels else set()) - first
+                at += [i] * (len(first) + len(second))
+                got += [*first, *second]
+                worth += [1.0] * len(first) + [0.5] * len(second)
+            arrays = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(got, pa.string()), pa.array(worth, pa.float64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "w", "worth"])
+
+    return find
 
 
 def relevant_documents(relevance: DataFrame, least: float = 0.15) -> DataFrame:
-    """The documents worth searching for each query: those with enough relevance, or all if none has."""
-    any_ = F.max(F.col("relevance") >= least).over(Window.partitionBy("query_id"))
-    return relevance.withColumn("__any", any_).where((F.col("relevance") >= least) | ~F.col("__any")).drop("__any")
+    """The documents worth searching for each query: those with enough relevance. A query that has none here searches all."""
+    return relevance.where(F.col("relevance") >= least)
 
 
 def context(chunks: DataFrame, window: int = 1, id_col: str = "doc_id") -> DataFrame:

@@ -31,20 +31,13 @@ def vector_search(
     queries: DataFrame, vectors: DataFrame, k: int = 5, threshold: float | None = None, query_id: str = "query_id", query_col: str = "vector",
     id_col: str = "vec_id", vec_col: str = "embedding",
 ) -> DataFrame:
-    """(query_id, <id>, score, rank): for every query the k vectors with the greatest cosine.
+    """(query_id, <id>, score, rank): for every query the k vectors with the greatest cosine, of at least ``threshold``.
 
-    Exact: every query meets every vector, scored in the JVM, and partitions keep their best k before
-    the shuffle. Scores equal to nine digits are in order of id. Vectors of other dimensions are compared over the elements that both have.
+    Exact: every query meets every vector, in blocks of both. Scores equal to nine digits are in order of id. Vectors of
+    other dimensions are compared over the elements that both have.
     """
-    q = with_norms(queries, query_id, query_col).select(F.col(query_id).alias("__q"), F.col("v").alias("qv"), F.col("norm").alias("qn"))
-    n = F.least(F.size("qv"), F.size("v"))
-    same = F.size("qv") == F.size("v")
-    cos = F.when(same, M.dot(F.col("qv"), F.col("v")) / (F.col("qn") * F.col("norm"))).otherwise(M.cosine(F.slice("qv", 1, n), F.slice("v", 1, n)))
-    rows = q.crossJoin(with_norms(vectors, id_col, vec_col)).select(F.col("__q").alias(query_id), id_col, cos.alias("score"))
-    if threshold is not None:
-        rows = rows.where(F.col("score") >= threshold)
-    order = Window.partitionBy(query_id).orderBy(F.desc(F.round("score", 9)), id_col)
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    found = block_search(queries, vectors, k, query_id, query_col, id_col, vec_col)
+    return found if threshold is None else found.where(F.col("score") >= threshold)
 
 
 def block_search(
@@ -100,6 +93,19 @@ def block_search(
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def search_within(
+    queries: DataFrame, vectors: DataFrame, allowed: DataFrame, k: int, id_col: str = "doc_id"
+) -> DataFrame:
+    """(query_id, <id>, idx, score) of the k nearest vectors (<id>, idx, vector) of the documents (query_id, <id>) of each query."""
+    q = with_norms(queries, "query_id", "vector").select("query_id", F.col("v").alias("qv"), F.col("norm").alias("qn"))
+    v = vectors.select(F.struct(id_col, "idx").alias("__key"), "vector")
+    v = with_norms(v, "__key", "vector").select(F.col(f"__key.{id_col}").alias(id_col), F.col("__key.idx").alias("idx"), "v", "norm")
+    rows = allowed.select("query_id", id_col).distinct().join(q, "query_id").join(v, id_col)
+    rows = rows.select("query_id", id_col, "idx", (M.dot(F.col("qv"), F.col("v")) / (F.col("qn") * F.col("norm"))).alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), id_col, "idx")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
+
+
 def lsh_search(
     queries: DataFrame, vectors: DataFrame, k: int = 5, tables: int = 24, bits: int = 8, seed: int = 5, query_id: str = "query_id",
     query_col: str = "vector", id_col: str = "vec_id", vec_col: str = "embedding", recall: float = 0.95,

@@ -467,10 +467,12 @@ FREQUENT = f"""{TERM_STATS}, ranked_term AS (SELECT *, row_number() OVER (PARTIT
     label AS (SELECT doc_id, term, chunk_ids FROM ranked_term WHERE r <= 20),
     spot AS (SELECT doc_id, term, c FROM label, unnest(chunk_ids) AS t(c)),
     edge AS (SELECT a.doc_id, a.term AS source, b.term AS target, count(*) AS shared FROM spot a JOIN spot b ON a.doc_id = b.doc_id AND a.c = b.c AND a.term < b.term GROUP BY ALL),
-    sized AS (SELECT e.*, len(a.chunk_ids) AS sn, len(b.chunk_ids) AS tn,
+    counted AS MATERIALIZED (SELECT e.*, len(a.chunk_ids) AS sn, len(b.chunk_ids) AS tn
+      FROM edge e JOIN label a ON e.doc_id = a.doc_id AND e.source = a.term JOIN label b ON e.doc_id = b.doc_id AND e.target = b.term
+      WHERE (len(a.chunk_ids) > len(b.chunk_ids) AND shared = len(b.chunk_ids)) OR (len(b.chunk_ids) > len(a.chunk_ids) AND shared = len(a.chunk_ids))),
+    sized AS (SELECT *,
         len(list_filter(string_split(source, ' '), lambda x: NOT list_contains(string_split(target, ' '), x))) = 0
-        OR len(list_filter(string_split(target, ' '), lambda x: NOT list_contains(string_split(source, ' '), x))) = 0 AS nested
-      FROM edge e JOIN label a ON e.doc_id = a.doc_id AND e.source = a.term JOIN label b ON e.doc_id = b.doc_id AND e.target = b.term),
+        OR len(list_filter(string_split(target, ' '), lambda x: NOT list_contains(string_split(source, ' '), x))) = 0 AS nested FROM counted),
     hier AS (SELECT doc_id, CASE WHEN sn > tn THEN source ELSE target END AS source, CASE WHEN sn > tn THEN target ELSE source END AS target
       FROM sized WHERE nested AND ((sn > tn AND shared = tn) OR (tn > sn AND shared = sn))),
     link AS (SELECT doc_id, source AS term, target AS other FROM edge UNION SELECT doc_id, target, source FROM edge)"""
@@ -522,14 +524,15 @@ def graph_neighbors_2hop(spark, sf_dir):
 
 
 def _index(spark, sf_dir):
-    """Chunks and postings, written once to the shared folder: a retrieval reads them several times."""
+    """Chunks, and the postings of n-grams that the queries ask for, in the shared folder: a retrieval reads them several times."""
     chunks = shared.cut(chunks_of(spark, sf_dir))
-    return chunks, shared.cut(index.postings(chunks))
+    terms = retrieve.query_terms(asked(spark, sf_dir))
+    only = retrieve.pieces(terms).select("piece").unionByName(terms.select(F.explode("grams").alias("piece")))
+    return chunks, shared.cut(index.postings(chunks, only=only))
 
 
 def _found(spark, sf_dir, k=20):
-    chunks, postings = _index(spark, sf_dir)
-    return retrieve.hash_retrieve(asked(spark, sf_dir), chunks, postings, k)
+    return retrieve.hash_retrieve(asked(spark, sf_dir), shared.cut(chunks_of(spark, sf_dir)), None, k)
 
 
 @query(f"WITH {HASH} SELECT query_id, doc_id, idx, round(score, 6) AS score, hits AS hash_hits, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 5")
@@ -545,8 +548,9 @@ LOOKUP = f"""{POSTINGS},{TERMS}, gn AS (SELECT query_id, count(*) AS n FROM qg G
 
 @query(f"WITH {LOOKUP} SELECT query_id, doc_id, idx, match_count, CAST(size AS INT) AS size, round(relevance, 6) AS relevance, CAST(rank AS INT) AS rank FROM best WHERE rank <= 10")
 def ngram_lookup(spark, sf_dir):
-    _, postings = _index(spark, sf_dir)
-    found = retrieve.top_lookup(retrieve.query_terms(asked(spark, sf_dir)), postings, 10)
+    terms = retrieve.query_terms(asked(spark, sf_dir))
+    postings = index.postings(chunks_of(spark, sf_dir), only=terms.select(F.explode("grams")))
+    found = retrieve.top_lookup(terms, postings, 10)
     return found.withColumn("relevance", F.round("relevance", 6))
 
 
@@ -571,7 +575,8 @@ RELEVANCE = f"""{CHUNKS}, head AS (SELECT doc_id, string_agg(substr(array_to_str
 
 
 @query(
-    f"""WITH {RELEVANCE} SELECT query_id, doc_id, round(CASE WHEN len(w) = 0 THEN 1.0e0 ELSE len(list_filter(w, lambda x: contains(head, x))) / len(w) END, 6) AS relevance FROM q, head"""
+    f"""WITH {RELEVANCE} SELECT query_id, doc_id, round(len(list_filter(w, lambda x: contains(head, x))) / len(w), 6) AS relevance FROM q, head
+    WHERE len(list_filter(w, lambda x: contains(head, x))) > 0"""
 )
 def document_relevance(spark, sf_dir):
     found = retrieve.document_relevance(asked(spark, sf_dir), chunks_of(spark, sf_dir))
@@ -723,11 +728,12 @@ def weighted_average(spark, sf_dir):
     return events.groupBy("event_type").agg(F.round(M.weighted_average(F.col("value"), F.col("event_id") % 7), 6).alias("average"))
 
 
-@query("SELECT event_id, round(value * pow(0.5, (event_id % 100) / 10.0), 6) AS decayed, round(1 / (1 + exp(-value / 100)), 6) AS squashed, least(greatest(value, 5.0), 50.0) AS clamped FROM events")
+@query("SELECT event_id, floor(value * pow(0.5, (event_id % 100) / 10.0) * 1000000e0 + 0.5e0) / 1000000e0 AS decayed, floor(1 / (1 + exp(-value / 100)) * 1000000e0 + 0.5e0) / 1000000e0 AS squashed, least(greatest(value, 5.0), 50.0) AS clamped FROM events")
 def decay_and_clamp(spark, sf_dir):
+    sixth = lambda x: F.floor(x * 1e6 + 0.5) / 1e6  # noqa: E731 - ties are settled in the doubles themselves
     v, age = F.col("value"), F.col("event_id") % 100
     return table(spark, sf_dir, "events").select(
-        "event_id", F.round(M.exponential_decay(v, age, 10.0), 6).alias("decayed"), F.round(M.sigmoid(v / 100), 6).alias("squashed"), M.clamp(v, 5.0, 50.0).alias("clamped")
+        "event_id", sixth(M.exponential_decay(v, age, 10.0)).alias("decayed"), sixth(M.sigmoid(v / 100)).alias("squashed"), M.clamp(v, 5.0, 50.0).alias("clamped")
     )
 
 
