@@ -18,13 +18,16 @@ from textloom.llm.common import cut, fresh, row_key, shared_folder, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID (9): documents without words, or of which no known language has a fair share, go."""
+    """Language ID (9): documents without words go, those of which no known language has a fair share, and those whose
+    n-grams are unfamiliar to all known languages. Null and empty texts have no words; repeated rows are judged alike."""
     model = langid.train(docs)
     return langid.identify(docs, model, with_runs=False).where("accepted").select(*docs.columns)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality classifier (8), fitted on the labelled documents among the stage's own: bad ones go."""
+    """Quality classifier (8), fitted on the labelled documents among the stage's own: bad ones go.
+
+    Repeated rows are judged alike; null and empty texts get the score of a text that neither dictionary explains."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.quality_scores(docs, model).where("keep").select(*docs.columns)
 
@@ -32,7 +35,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup (1): later runs of lines go, and documents of which nothing is left.
 
-    ``n_chars`` becomes the length of the new text.
+    ``n_chars`` becomes the length of the new text. Null texts stay; rows that repeat both id and text lose the same lines.
     """
     rest = line_dedup.line_dedup(docs).where((F.col("removed_lines") == 0) | (F.trim(F.col("text")) != ""))
     changed = F.when(F.col("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
@@ -40,7 +43,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join (7): one document of each group of near duplicates stays.
+    """N-gram Jaccard join (7): of each group of near duplicates the document of the least id stays.
 
     Rows that repeat both id and text are one document to the join: one of them stays, that of the least
     hash of all columns. Rows without text are left as they are.
@@ -81,4 +84,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = f"{folder}/{i}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if i:  # nothing reads what the stage before wrote any more
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{i - 1}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
     return docs
