@@ -95,7 +95,8 @@ class Model:
         """What share of familiar n-grams a text must have, from sample texts that are held out.
 
         The threshold is half-way from what texts of one language get from those of all others (the mean of
-        the languages' medians) to a low quantile of what texts get from other texts of all languages.
+        the languages' medians) to a low quantile of what texts get from other texts of all languages, and at
+        most five times as far below a perfect text as that quantile, as languages may share most n-grams.
         """
         size = np.diff(np.append(starts, len(gram)))
         byte_doc = np.repeat(doc, size)
@@ -114,7 +115,8 @@ class Model:
         far = [float(np.median(x)) for x in far if len(x)]
         self.familiar[mine[inside]] = 1
         if len(near) and far:
-            self.min_familiar = (float(np.quantile(near, 0.02)) + sum(far) / len(far)) / 2
+            low = float(np.quantile(near, 0.02))
+            self.min_familiar = max(0.0, min((low + sum(far) / len(far)) / 2, 1 - 5 * (1 - low)))
 
     def slot(self, words: np.ndarray) -> np.ndarray:
         """Lexicon slots of words; 0, which has no weight, for those without an entry."""
