@@ -23,6 +23,7 @@ LINES_WORDS = 1 << 18
 SLICE_BYTES = 1 << 21
 HELD_OUT = 4
 PRIOR = 30
+MOST_ASKED = 0.9
 
 
 def features(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, hasher: Hasher):
@@ -96,7 +97,7 @@ class Model:
 
         The threshold is half-way from what texts of one language get from those of all others (the mean of
         the languages' medians) to a low quantile of what texts get from other texts of all languages, and at
-        most five times as far below a perfect text as that quantile, as languages may share most n-grams.
+        most ``MOST_ASKED``, as languages may share most n-grams and clean text has names and addresses.
         """
         size = np.diff(np.append(starts, len(gram)))
         byte_doc = np.repeat(doc, size)
@@ -116,7 +117,7 @@ class Model:
         self.familiar[mine[inside]] = 1
         if len(near) and far:
             low = float(np.quantile(near, 0.02))
-            self.min_familiar = max(0.0, min((low + sum(far) / len(far)) / 2, 1 - 5 * (1 - low)))
+            self.min_familiar = max(0.0, min((low + sum(far) / len(far)) / 2, MOST_ASKED))
 
     def slot(self, words: np.ndarray) -> np.ndarray:
         """Lexicon slots of words; 0, which has no weight, for those without an entry."""
