@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import langid, line_dedup, ngram_join, packing, quality
-from textloom.llm.common import cut, fresh, row_key, shared_folder, table
+from textloom.llm.common import cut, fresh, maybe_broadcast, row_key, shared_folder, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,13 +46,15 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     """N-gram Jaccard join (7): of each group of near duplicates the document of the least id stays.
 
     Rows that repeat both id and text are one document to the join: one of them stays, that of the least
-    hash of all columns. Rows without text are left as they are.
+    hash of all columns. Rows without text are left as they are. To find repeated rows only keys shuffle; the texts of
+    other rows do so only if the keys are too many to be broadcast.
     """
-    rest = ngram_join.near_duplicates_removed(docs)
     key, nth = fresh(docs, "key", "nth")
-    rest = rest.withColumn(key, row_key("doc_id", "text"))
-    twice = cut(rest.where("text is not null").groupBy(key).count().where("count > 1").select(key))
-    again = rest.where("text is not null").join(twice, key, "left_semi")
+    name = row_key("doc_id", "text")
+    twice = cut(docs.where("text is not null").select(name.alias(key)).groupBy(key).count().where("count > 1").select(key))
+    twice = maybe_broadcast(twice, twice.count(), 48, ngram_join.BROADCAST_BYTES)
+    rest = ngram_join.near_duplicates_removed(docs).withColumn(key, name)
+    again = rest.join(twice, key, "left_semi")  # texts only, as keys of texts are; the other join can reuse its shuffle
     order = Window.partitionBy(key).orderBy(F.xxhash64(*docs.columns))
     first = again.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1)
     single = rest.join(twice, key, "left_anti")
