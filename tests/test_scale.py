@@ -14,7 +14,7 @@ from textloom.plans import shared
 SMALL = "/root/testdata/sf0.001"
 STOP = K.COMMON_WORDS | K.NOISE_TERMS
 #: Made of each document where it lies: no exchange by key.
-IN_PLACE = ["graph_impact", "graph_neighbors_2hop", "pmi", "cooccurrence_edges", "hierarchical_edges"]
+IN_PLACE = ["graph_impact", "graph_neighbors_2hop", "pmi", "cooccurrence_edges", "hierarchical_edges", "term_stats"]
 
 
 def plan(df):
