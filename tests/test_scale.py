@@ -2,6 +2,7 @@
 
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from textloom import constants as K
 from textloom import queries as Q
 from textloom.operators import grams as N
 from textloom.operators import index as I
+from textloom.operators import vector as V
 from textloom.plans import shared
 
 SMALL = "/root/testdata/sf0.001"
@@ -69,3 +71,38 @@ def test_frequent_terms_and_their_graph(spark):
     assert {tuple(r) for r in I.document_impact(made).collect()} == {tuple(r) for r in I.impact(edges).collect()}
     start = made.where("doc_id is not null").select("doc_id", F.array_min("labels").alias("term"))
     assert {tuple(r) for r in I.document_related(made).collect()} == {tuple(r) for r in I.related(edges, start).where("other <> term").collect()}
+
+
+def test_nearest_in_tiles(monkeypatch):
+    monkeypatch.setattr(V, "TILE_QUERIES", 7)
+    monkeypatch.setattr(V, "TILE_VECTORS", 11)
+    rng = np.random.default_rng(3)
+    vm = rng.normal(size=(60, 8))
+    vm[40:] = vm[:20] * 3  # equal cosines
+    vm[5] = 0
+    qm = np.concatenate([vm[::3], rng.normal(size=(9, 8))])
+    for odd in (False, True):
+        if odd:
+            vm[7, 2] = np.nan
+        length = np.linalg.norm(qm, axis=1)[:, None] * np.linalg.norm(vm, axis=1)
+        score = np.round(np.divide(qm @ vm.T, length, out=np.zeros_like(length), where=length != 0), 9)
+        score = np.where(np.isnan(score), np.inf, score)
+        for k in (1, 4, 100):
+            i, j, _ = V.nearest(qm, vm, k)
+            least = np.sort(score, 1)[:, max(0, 60 - k), None]
+            assert set(zip(i.tolist(), j.tolist())) == set(zip(*map(np.ndarray.tolist, np.nonzero(score >= least))))
+
+
+def test_buckets_that_are_cut(spark, monkeypatch):
+    """Only the best leave a bucket, whose sides are cut into blocks; of pairs themselves there is no join."""
+    vectors = spark.read.parquet(f"{SMALL}/embeddings.parquet")
+    asked = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    want = {tuple(r)[:2] for r in V.block_search(asked, vectors, 3).collect()}
+    monkeypatch.setattr(V, "EXACT_PAIRS", 0)
+    monkeypatch.setattr(V, "BLOCK_ROWS", 30)
+    monkeypatch.setattr(V, "BLOCK_VALUES", 64 * 100)
+    met = []
+    whole = V.best_of_groups
+    monkeypatch.setattr(V, "best_of_groups", lambda rows, *a: met.append(rows.count()) or whole(rows, *a))
+    assert {tuple(r)[:2] for r in V.lsh_search(asked, vectors, 3).collect()} == want
+    assert met[0] < 24 * 2 * 3 * vectors.count()

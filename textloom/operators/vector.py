@@ -16,8 +16,11 @@ from pyspark.sql import types as T
 
 from textloom.functions import measures as M
 from textloom.functions import text as X
+from textloom.plans.shared import cut
 
 BLOCK_ROWS = 1 << 13
+BLOCK_VALUES = 1 << 22
+TILE_QUERIES, TILE_VECTORS = 256, 1 << 13
 EXACT_PAIRS = 1 << 33
 
 
@@ -40,57 +43,143 @@ def vector_search(
     return found if threshold is None else found.where(F.col("score") >= threshold)
 
 
-def block_search(
-    queries: DataFrame, vectors: DataFrame, k: int = 5, query_id: str = "query_id", query_col: str = "vector", id_col: str = "vec_id",
-    vec_col: str = "embedding",
-) -> DataFrame:
-    """As :func:`vector_search`, for many queries: each pair of blocks of queries and vectors is one group, scored in numpy."""
-    qs, vs = (max(1, -(-df.count() // BLOCK_ROWS)) for df in (queries, vectors))
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dense = F.transform("v", lambda x: F.coalesce(x, F.lit(0.0))).alias("v")
-    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType)
-    a = with_norms(queries, query_id, query_col).select(
-        block(query_id, qs).alias("qb"), each(vs).alias("vb"), F.col(query_id).alias("q"), none(vectors, id_col).alias("i"), F.lit(True).alias("asks"), dense
-    )
-    b = with_norms(vectors, id_col, vec_col).select(
-        each(qs).alias("qb"), block(id_col, vs).alias("vb"), none(queries, query_id).alias("q"), F.col(id_col).alias("i"), F.lit(False).alias("asks"), dense
-    )
-    schema = T.StructType([T.StructField("q", queries.schema[query_id].dataType), T.StructField("i", vectors.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
+def by_size(column: pa.ChunkedArray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows, matrix) of the vectors of each number of dimensions."""
+    lists = column.combine_chunks()
+    flat, length = lists.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    begin, out = np.cumsum(length) - length, []
+    for n in np.unique(length):
+        rows = np.flatnonzero(length == n)
+        out.append((rows, flat[begin[rows][:, None] + np.arange(n)]))
+    return out
+
+
+def unit32(m: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    return np.divide(m, norm[:, None], out=np.zeros(m.shape), where=norm[:, None] > 0).astype(np.float32)
+
+
+def slack32(dim: int) -> float:
+    """More than the scalar product of two unit vectors of single precision can be wrong by."""
+    return (dim + 8) * 2.0**-23
 
-    def by_size(column: pa.ChunkedArray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(rows, matrix) of each number of dimensions."""
-        lists = column.combine_chunks()
-        flat, length = lists.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-        begin, out = np.cumsum(length) - length, []
-        for n in np.unique(length):
-            rows = np.flatnonzero(length == n)
-            out.append((rows, flat[begin[rows][:, None] + np.arange(n)]))
-        return out
 
+def last_of(row: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, values) of the k-th greatest value of each row that has so many."""
+    order = np.lexsort((-value, row))
+    row, value = row[order], value[order]
+    at = np.flatnonzero(np.arange(len(row)) - np.searchsorted(row, row) == k - 1)
+    return row[at], value[at]
+
+
+def nearest(qm: np.ndarray, vm: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, cosine) of the k nearest rows of ``vm`` to each row of ``qm``, with all that are equal to the last to nine digits.
+
+    Tiles are compared in single precision; what may be among the best is scored in double precision. Rows with elements
+    that are not finite are scored in double precision alone, NaN being the greatest.
+    """
+    qn, vn = (np.linalg.norm(m, axis=1) for m in (qm, vm))
+    fast = bool(np.isfinite(qn).all() and np.isfinite(vn).all())
+    qf, vf = (unit32(m, n) for m, n in ((qm, qn), (vm, vn))) if fast else (None, None)
+    slack, out = 2 * slack32(qm.shape[1]), []
+    for at in range(0, len(qm), TILE_QUERIES):
+        q, n = qm[at : at + TILE_QUERIES], qn[at : at + TILE_QUERIES]
+        low = np.full(len(q), -np.inf)
+        i, j, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for to in range(0, len(vm), TILE_VECTORS):
+            if fast:
+                score = qf[at : at + TILE_QUERIES] @ vf[to : to + TILE_VECTORS].T
+            else:
+                length = n[:, None] * vn[to : to + TILE_VECTORS]
+                score = np.divide(q @ vm[to : to + TILE_VECTORS].T, length, out=np.zeros_like(length), where=length != 0)
+                score = np.where(np.isnan(score), np.inf, score)
+            if to == 0 and k < score.shape[1]:
+                low = np.partition(score, -k, axis=1)[:, -k].astype(float) - slack
+            x, y = np.nonzero(score >= low[:, None].astype(score.dtype))
+            i, j, s = np.concatenate([i, x]), np.concatenate([j, y + to]), np.concatenate([s, score[x, y]])
+            rows, least = last_of(i, s, k)
+            low[rows] = np.maximum(low[rows], least - slack)
+            keep = s >= low[i]
+            i, j, s = i[keep], j[keep], s[keep]
+        if not len(i):
+            continue
+        length = n[i] * vn[j]
+        exact = np.divide(np.einsum("ij,ij->i", q[i], vm[j]), length, out=np.zeros(len(i)), where=length != 0)
+        rank = np.where(np.isnan(exact), np.inf, np.round(exact, 9))
+        low = np.full(len(q), -np.inf)
+        rows, least = last_of(i, rank, k)
+        low[rows] = least
+        keep = rank >= low[i]
+        out.append((i[keep] + at, j[keep], exact[keep]))
+    return tuple(np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(zip(*out) if out else ((), (), ()), (np.int64, np.int64, float)))
+
+
+def best_of_group(k: int):
+    """Of a group (asks, q, i, v): (q, i, score) of the k nearest vectors to each that asks."""
     def best(group: pa.Table) -> pa.Table:
         asks, has = group.filter(group["asks"]), group.filter(pc.invert(group["asks"]))
         x, y, s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         for left, qm in by_size(asks["v"]):
             for right, vm in by_size(has["v"]):
                 n = min(qm.shape[1], vm.shape[1])
-                qn, vn = (np.linalg.norm(m[:, :n], axis=1) for m in (qm, vm))
-                for at in range(0, len(left), 512):
-                    length = qn[at : at + 512, None] * vn
-                    score = np.divide(qm[at : at + 512, :n] @ vm[:, :n].T, length, out=np.zeros_like(length), where=length != 0)
-                    rank = np.where(np.isnan(score), np.inf, np.round(score, 9))
-                    least = np.partition(rank, -k, axis=1)[:, -k, None] if k < rank.shape[1] else -np.inf
-                    i, j = np.nonzero(rank >= least)  # with all that are equal to the last
-                    x.append(left[i + at])
-                    y.append(right[j])
-                    s.append(score[i, j])
+                i, j, score = nearest(qm[:, :n].astype(float), vm[:, :n].astype(float), k)
+                x.append(left[i])
+                y.append(right[j])
+                s.append(score)
         x, y = pa.array(np.concatenate(x)), pa.array(np.concatenate(y))
         return pa.table({"q": asks["q"].take(x), "i": has["i"].take(y), "score": pa.array(np.concatenate(s))})
 
-    found = a.unionByName(b).groupBy("qb", "vb").applyInArrow(best, schema)
-    rows = found.select(F.col("q").alias(query_id), F.col("i").alias(id_col), "score")
+    return best
+
+
+def sides(queries: DataFrame, vectors: DataFrame, query_id: str, query_col: str, id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame]:
+    """(asks, q, i, v) of queries and of vectors; elements as they are, null ones being 0."""
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType)
+    made = []
+    for df, own, col, asks in ((queries, query_id, query_col, True), (vectors, id_col, vec_col, False)):
+        kind = "array<float>" if df.schema[col].dataType.simpleString() == "array<float>" else "array<double>"
+        v = F.col("__v")
+        rows = df.select(F.col(own).alias("__id"), F.col(col).cast(kind).alias("__v"))
+        rows = rows.where((F.size(v) > 0) & (M.norm(v) > 0))
+        q, i = (F.col("__id"), none(vectors, id_col)) if asks else (none(queries, query_id), F.col("__id"))
+        zero = F.lit(0.0).cast(kind[6:-1])
+        made.append(rows.select(F.lit(asks).alias("asks"), q.alias("q"), i.alias("i"), F.transform(v, lambda x: F.coalesce(x, zero)).cast("array<double>" if kind[6] == "d" else kind).alias("v")))
+    a, b = made
+    if a.schema["v"].dataType != b.schema["v"].dataType:
+        a, b = (x.withColumn("v", F.col("v").cast("array<double>")) for x in made)
+    return a, b
+
+
+def block_search(
+    queries: DataFrame, vectors: DataFrame, k: int = 5, query_id: str = "query_id", query_col: str = "vector", id_col: str = "vec_id",
+    vec_col: str = "embedding",
+) -> DataFrame:
+    """As :func:`vector_search`, for many queries: each pair of blocks of queries and vectors is one group, scored in numpy.
+
+    Blocks hold ``BLOCK_VALUES`` elements, those of queries fewer if there would be fewer groups than cores; a query travels
+    once for each block of vectors, and a vector once for each block of queries.
+    """
+    cores = 2 * queries.sparkSession.sparkContext.defaultParallelism
+    n, wide = zip(*(df.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(c)), F.lit(1))).first() for df, c in ((queries, query_col), (vectors, vec_col))))
+    rows = max(1, BLOCK_VALUES // max(1, *wide))
+    qs, vs = (max(1, -(-x // rows)) for x in n)
+    qs = max(qs, min(-(-cores // vs), max(1, -(-n[0] // BLOCK_ROWS))))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a, b = sides(queries, vectors, query_id, query_col, id_col, vec_col)
+    a = a.withColumn("qb", block("q", qs)).withColumn("vb", each(vs))
+    b = b.withColumn("vb", block("i", vs)).withColumn("qb", each(qs))
+    return best_of_groups(a.unionByName(b), ["qb", "vb"], k, queries, vectors, query_id, id_col)
+
+
+def best_of_groups(rows: DataFrame, keys: list[str], k: int, queries: DataFrame, vectors: DataFrame, query_id: str, id_col: str) -> DataFrame:
+    """(query_id, <id>, score, rank): the k best of the groups (asks, q, i, v) of those keys; a pair may meet in several."""
+    schema = T.StructType([T.StructField("q", queries.schema[query_id].dataType), T.StructField("i", vectors.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
+    found = rows.groupBy(*keys).applyInArrow(best_of_group(k), schema)
+    found = found.select(F.col("q").alias(query_id), F.col("i").alias(id_col), "score")
     order = Window.partitionBy(query_id).orderBy(F.desc(F.round("score", 9)), id_col)
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    if "tab" in keys:
+        found = found.dropDuplicates([query_id, id_col])
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def search_within(
@@ -112,8 +201,8 @@ def lsh_search(
 ) -> DataFrame:
     """As :func:`vector_search`, over the vectors that share a bucket of random hyperplanes with the query.
 
-    Signs of ``bits`` random projections name a bucket in each of ``tables`` tables; candidates are met by
-    an equi-join and scored exactly. True neighbours score at least what the k-th found one does, so the
+    Signs of ``bits`` random projections name a bucket in each of ``tables`` tables; those of a bucket are
+    compared as one group, of which only the k best leave it. True neighbours score at least what the k-th found one does, so the
     result stands only if at that cosine the tables meet a vector with probability ``recall``; other
     queries, and those that meet fewer than k vectors, are searched exactly. So are all queries where they
     and the vectors make at most ``EXACT_PAIRS`` pairs, as hashing costs more than it saves there.
@@ -122,34 +211,40 @@ def lsh_search(
         return block_search(queries, vectors, k, query_id, query_col, id_col, vec_col)
     sure = guaranteed_cosine(recall, bits, tables)
 
-    def buckets(df: DataFrame, id_: str, col: str) -> DataFrame:
-        rows = with_norms(df, id_, col)
-        kind = df.schema[id_].dataType.simpleString()
-
-        def hashed(frames):
+    def buckets(df: DataFrame) -> DataFrame:
+        """The rows (asks, q, i, v) once for each table, with the bucket there."""
+        def hashed(batches):
             drawn: dict[int, np.ndarray] = {}
             weight = 1 << np.arange(bits, dtype=np.int64)
-            for frame in frames:
-                dims = frame["v"].map(len)
-                for dim, part in frame.groupby(dims):
+            for batch in batches:
+                table = pa.Table.from_batches([batch])
+                for rows, x in by_size(table["v"]):
+                    dim = x.shape[1]
                     if dim not in drawn:
                         drawn[dim] = np.random.default_rng([seed, dim]).normal(size=(dim, bits * tables))
-                    signs = np.stack(part["v"].to_numpy()) @ drawn[dim] > 0
-                    bucket = signs.reshape(len(part), tables, bits) @ weight
-                    yield pd.DataFrame({"id": np.repeat(part[id_].to_numpy(), tables), "tab": np.tile(np.arange(tables), len(part)), "bucket": bucket.ravel()})
-
-        return rows.select(id_, "v").mapInPandas(hashed, f"id {kind}, tab int, bucket long")
-
-    a = buckets(queries, query_id, query_col).withColumnRenamed("id", "a")
-    b = buckets(vectors, id_col, vec_col).withColumnRenamed("id", "b")
-    pairs = a.join(b, ["tab", "bucket"]).select("a", "b").distinct()
-    q = with_norms(queries, query_id, query_col).select(F.col(query_id).alias("a"), F.col("v").alias("qv"), F.col("norm").alias("qn"))
-    v = with_norms(vectors, id_col, vec_col).withColumnRenamed(id_col, "b")
-    scored = pairs.join(q, "a").join(v, "b").select(
-        F.col("a").alias(query_id), F.col("b").alias(id_col), (M.dot(F.col("qv"), F.col("v")) / (F.col("qn") * F.col("norm"))).alias("score")
+                    for at in range(0, len(rows), 512):
+                        part = rows[at : at + 512]
+                        bucket = (x[at : at + 512].astype(float) @ drawn[dim] > 0).reshape(len(part), tables, bits) @ weight
+                        out = batch.take(pa.array(np.repeat(part, tables)))
+                        columns = [*out.columns, pa.array(np.tile(np.arange(tables, dtype=np.int32), len(part))), pa.array(bucket.ravel())]
+                        yield pa.RecordBatch.from_arrays(columns, names=[*out.schema.names, "tab", "bucket"])
+
+        schema = T.StructType([*df.schema.fields, T.StructField("tab", T.IntegerType()), T.StructField("bucket", T.LongType())])
+        return df.mapInArrow(hashed, schema)
+
+    a, b = sides(queries, vectors, query_id, query_col, id_col, vec_col)
+    a, b = buckets(a), buckets(b)
+    # at most 2 ** bits buckets in each table; each side of one is cut into blocks
+    size = a.drop("v").unionByName(b.drop("v")).groupBy("tab", "bucket").agg(
+        *[F.ceil(F.sum(F.col("asks").eqNullSafe(F.lit(x)).cast("long")) / BLOCK_ROWS).cast("int").alias(n) for n, x in (("qs", True), ("vs", False))]
     )
-    order = Window.partitionBy(query_id).orderBy(F.desc(F.round("score", 9)), id_col)
-    near = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    size = cut(size.where("qs > 0 and vs > 0"))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = a.join(F.broadcast(size), ["tab", "bucket"]).withColumn("qb", block("q", "qs")).withColumn("vb", each("vs"))
+    b = b.join(F.broadcast(size), ["tab", "bucket"]).withColumn("vb", block("i", "vs")).withColumn("qb", each("qs"))
+    near = best_of_groups(a.unionByName(b), ["tab", "bucket", "qb", "vb"], k, queries, vectors, query_id, id_col)
+    near = cut(near)
     full = near.where((F.col("rank") == k) & (F.col("score") >= sure)).select(query_id)
     rest = queries.join(full, query_id, "left_anti")
     return near.join(full, query_id, "left_semi").unionByName(block_search(rest, vectors, k, query_id, query_col, id_col, vec_col))
