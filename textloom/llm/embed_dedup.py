@@ -19,6 +19,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ UNRELATED = math.sqrt(2)  # distance of two random directions
 BLOCK = 1 << 10
 GROUP_ROWS = 1 << 14
 STEP_ROWS = 64
+ALL_BLOCK = 1 << 15
+ALL_TILE = 512
 GRID = float(1 << 20)
 
 
@@ -94,9 +97,62 @@ def candidates(bucket: np.ndarray, side: np.ndarray, x: np.ndarray, threshold: f
         yield a + i, a + j
 
 
+def all_links(sets: DataFrame, count: int, threshold: float) -> DataFrame:
+    """As :func:`linked_vectors`, by comparing all vectors: where so many tables are needed that each would meet as many in
+    them. Every pair of blocks is a group; tiles are compared in single precision, and again in double near the threshold."""
+    blocks = max(-(-count // ALL_BLOCK), min(8, -(-count // (ALL_BLOCK // 8))), 1)
+    rows = sets.withColumn("part", F.pmod(F.xxhash64("sig"), F.lit(blocks)).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.select(F.least("part", "y").alias("i"), F.greatest("part", "y").alias("j"), "part", "sig", "copies", "v")
+
+    def link(group: pa.Table) -> pa.Table:
+        group = group.take(pc.sort_indices(group["sig"]))
+        sig, copies, part = (group[c].to_numpy() for c in ("sig", "copies", "part"))
+        one = group["i"][0].as_py() == group["j"][0].as_py()
+        links, least = np.zeros(len(sig), np.int64), np.arange(len(sig))
+        for at, x in matrices(group["v"].combine_chunks()):
+            sides = (at, at) if one else (at[part[at] == part.min()], at[part[at] != part.min()])
+            left, right = (np.searchsorted(at, side) for side in sides)
+            x32, near = x.astype(np.float32), (x.shape[1] + 8) * 2.0**-23
+            for a in range(0, len(left), ALL_TILE):
+                p, r = [], []
+                rows = left[a : a + ALL_TILE]
+                for b in range(a if one else 0, len(right), 8 * ALL_TILE):
+                    others = right[b : b + 8 * ALL_TILE]
+                    score = x32[rows] @ x32[others].T
+                    i, j = np.nonzero(score >= np.float32(threshold - near))
+                    if one:
+                        i, j = i[rows[i] < others[j]], j[rows[i] < others[j]]
+                    sure = score[i, j] >= threshold + near
+                    doubt = np.flatnonzero(~sure)
+                    sure[doubt] = np.einsum("ij,ij->i", x[rows[i[doubt]]], x[others[j[doubt]]]) >= threshold
+                    p.append(at[rows[i[sure]]])
+                    r.append(at[others[j[sure]]])
+                p, r = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (p, r))
+                links += np.bincount(p, weights=copies[r], minlength=len(sig)).astype(np.int64)
+                links += np.bincount(r, weights=copies[p], minlength=len(sig)).astype(np.int64)
+                join_least(least, p, r)
+        some = np.flatnonzero(links > 0)
+        return pa.table({"sig": pa.array(sig[some]), "links": pa.array(links[some]), "root": pa.array(sig[least[some]])})
+
+    return cut(rows.groupBy("i", "j").applyInArrow(link, "sig long, links long, root long"))
+
+
+def join_least(least: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Of each linked pair, and of all that point to the same, the least one."""
+    while (least[a] != least[b]).any():
+        low = np.minimum(least[a], least[b])
+        np.minimum.at(least, least[a], low)
+        np.minimum.at(least, least[b], low)
+        while (least[least] != least).any():
+            least[:] = least[least]
+
+
 def linked_vectors(sets: DataFrame, threshold: float, width: float, recall: float, crowd: float, seed: int) -> DataFrame:
     """(sig, links, root) of sets (sig, copies, v): see :func:`textloom.llm.classes.classified`."""
-    k, tables = plan(sets.count(), threshold, width, recall, crowd)
+    count = sets.count()
+    k, tables = plan(count, threshold, width, recall, crowd)
+    if tables * crowd >= count:
+        return all_links(sets, count, threshold)
 
     def hashed(batches):
         made = Tables(k, tables, width, seed)
@@ -143,12 +199,7 @@ def linked_vectors(sets: DataFrame, threshold: float, width: float, recall: floa
                 a, b = of[rows[a]], of[rows[b]]
                 links += np.bincount(a[one], weights=copies_of(names, sig, copies)[b[one]], minlength=len(names)).astype(np.int64)
                 links += np.bincount(b[one], weights=copies_of(names, sig, copies)[a[one]], minlength=len(names)).astype(np.int64)
-                while (least[a] != least[b]).any():
-                    low = np.minimum(least[a], least[b])
-                    np.minimum.at(least, least[a], low)
-                    np.minimum.at(least, least[b], low)
-                    while (least[least] != least).any():
-                        least = least[least]
+                join_least(least, a, b)
         some = np.flatnonzero((links > 0) | (least != np.arange(len(names))))
         return pa.table([pa.array(names[some]), pa.array(links[some]), pa.array(names[least[some]])], schema=out)
 
