@@ -3,11 +3,13 @@
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from textloom import constants as K
 from textloom import queries as Q
+from textloom.functions import measures as M
 from textloom.operators import grams as N
 from textloom.operators import index as I
 from textloom.operators import vector as V
@@ -16,7 +18,7 @@ from textloom.plans import shared
 SMALL = "/root/testdata/sf0.001"
 STOP = K.COMMON_WORDS | K.NOISE_TERMS
 #: Made of each document where it lies: no exchange by key.
-IN_PLACE = ["graph_impact", "graph_neighbors_2hop", "pmi", "cooccurrence_edges", "hierarchical_edges", "term_stats"]
+IN_PLACE = ["graph_impact", "graph_neighbors_2hop", "pmi", "cooccurrence_edges", "hierarchical_edges", "term_stats", "table_stats", "ngram_postings"]
 
 
 def plan(df):
@@ -106,3 +108,37 @@ def test_buckets_that_are_cut(spark, monkeypatch):
     monkeypatch.setattr(V, "best_of_groups", lambda rows, *a: met.append(rows.count()) or whole(rows, *a))
     assert {tuple(r)[:2] for r in V.lsh_search(asked, vectors, 3).collect()} == want
     assert met[0] < 24 * 2 * 3 * vectors.count()
+
+
+def test_postings_and_tables_of_repeated_documents(spark, monkeypatch):
+    """Counts of rows of one document with the same number, in batches of a few words, against the postings themselves."""
+    monkeypatch.setattr(N, "SLICE_WORDS", 4)
+    made = shared.by_document(odd_chunks(spark), lambda rows: rows)
+    want = I.postings(odd_chunks(spark)).distinct().groupBy("doc_id", "idx").agg(F.count("*"), F.sum((F.col("size") > 1).cast("long")), F.sum(F.length("gram")))
+    assert {tuple(r) for r in N.posting_counts(made, "doc_id").collect()} == {tuple(r) for r in want.collect()}
+    tables = {r.doc_id: (r.unique_ngrams, r.total_insertions) for r in I.table_stats(odd_chunks(spark)).collect()}
+    grams = defaultdict(list)
+    for r in I.postings(odd_chunks(spark), max_n=4).collect():
+        grams[r.doc_id].append(r.gram)
+    assert {d: n for d, (n, _) in tables.items()} == {d: len(set(g)) for d, g in grams.items()}
+    texts = ["", "a", "graph theory", "été naïve", "graph theory enzyme kinase"]
+    hashes = spark.createDataFrame([(t,) for t in texts], "t string").select(M.hash_all(F.col("t"), 1 << 32).alias("h")).collect()
+    assert N.table_hashes(pa.array(texts)).T.tolist() == [list(r.h) for r in hashes]
+
+
+def test_frequency_of_grams(spark, monkeypatch):
+    monkeypatch.setattr(N, "SLICE_WORDS", 4)
+    want = defaultdict(lambda: [0, set(), set()])
+    for d, i, text in ROWS:
+        w = text.split()
+        runs = [(n, w[a : a + n]) for n in (2, 3, 4) for a in range(len(w) - n + 1)] + [(1, [x]) for x in dict.fromkeys(w) if len(x) > 4]
+        for n, g in runs:
+            if g[0] not in STOP and g[-1] not in STOP:
+                have = want[" ".join(g), n]
+                have[0] += 1
+                have[1].add((d, i))
+                have[2].add(d)
+    for whole in (True, False):
+        made = shared.by_document(odd_chunks(spark), lambda rows: rows) if whole else odd_chunks(spark)
+        got = {(r.gram, r["size"]): (r.occurrences, r.chunks, r.docs) for r in I.gram_frequency(made, whole=whole, parts=3).collect()}
+        assert got == {k: (n, len(c), len(d)) for k, (n, c, d) in want.items()}
