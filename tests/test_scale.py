@@ -17,6 +17,7 @@ from textloom.operators import caches
 from textloom.operators import chunk as C
 from textloom.operators import grams as N
 from textloom.operators import index as I
+from textloom.operators import retrieve as R
 from textloom.operators import vector as V
 from textloom.plans import shared
 
@@ -186,3 +187,16 @@ def test_near_queries_in_blocks(spark, monkeypatch):
         found = caches.near_queries(asked)
         assert "NestedLoop" not in plan(found)
         assert {(r.query_a, r.query_b): round(r.cosine, 12) for r in found.collect()} == pairs and found.count() == len(pairs)
+
+
+def test_chunks_scored_in_place(spark):
+    """The best of each batch hold the best of all, the queries without hits in the postings included."""
+    rng = random.Random(5)
+    vocab = "neural network gradient descent kernel matrix tensor graph learning learned learns the of and protein 7".split()
+    rows = [(i // 5, i % 5, " ".join(rng.choice(vocab) for _ in range(rng.randint(3, 40)))) for i in range(40)]
+    made = spark.createDataFrame(rows, "doc_id long, idx int, text string").withColumn("words", X.chunk_words(F.col("text"))).cache()
+    asked = spark.createDataFrame([(1, "neural network learning"), (2, "the graph matrix"), (3, "unknownword"), (4, "of the and"), (5, None), (6, "learnly")], "query_id int, query string")
+    want, got = (sorted(map(tuple, R.hash_retrieve(asked, made, p, 3, once=once).collect())) for p, once in ((I.postings(made), False), (None, True)))
+    assert [x[:3] for x in got] == [x[:3] for x in want] and np.allclose([x[3:] for x in got], [x[3:] for x in want])
+    terms = R.query_terms(asked)
+    assert sorted(map(tuple, R.local_lookup(terms, made, 3).collect())) == sorted(map(tuple, R.top_lookup(terms, I.postings(made), 3).select("query_id", "doc_id", "idx", "match_count", "size", "relevance", "rank").collect()))
